@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from docketforge.plans import quality
+
 FLAGSHIP = "verify_failure_rates"
-QUERIES: dict = {}
-SQL: dict = {}
+_MODULES = (quality,)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL: dict = {name: text for m in _MODULES for name, text in m.SQL.items()}
