@@ -12,16 +12,27 @@ def order_key(*columns: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("#", F.lit(str(seed)), *[c.cast("string") for c in columns]).cast("binary"))
 
 
-def stratified_groups(groups: DataFrame, group: str, stratum: str, train: float = 0.8, val: float = 0.1, tiny: int = 5, seed: int = 42) -> DataFrame:
-    """(group, stratum, split): groups split within their stratum; strata of fewer than ``tiny`` groups go to train. Sizes round half to even.
+def ranked(df: DataFrame, group: str, bucket: Column, order: list) -> DataFrame:
+    """df with ``rank`` (from 1) and ``size`` of each row's group, by an order that ``bucket`` coarsens.
 
-    The rank within a stratum needs its groups in one place; groups are documents' ids, not rows.
+    A group may hold any share of the rows: rows are numbered inside their bucket, to which the rows in the group's
+    earlier buckets are added. ``bucket`` must grow with the order and have a bounded number of values.
     """
-    w = Window.partitionBy("stratum")
+    rows = df.withColumn("__b", bucket)
+    counts = rows.groupBy(group, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(group)
+    before = counts.withColumn("__before", F.sum("__n").over(w.orderBy("__b")) - F.col("__n")).withColumn("size", F.sum("__n").over(w)).withColumnsRenamed({group: "__g", "__b": "__gb"})
+    joined = rows.join(before, rows[group].eqNullSafe(before["__g"]) & (rows["__b"] == before["__gb"]))
+    n = F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order))
+    return joined.withColumn("rank", F.col("__before") + n).drop("__b", "__g", "__gb", "__n", "__before")
+
+
+def stratified_groups(groups: DataFrame, group: str, stratum: str, train: float = 0.8, val: float = 0.1, tiny: int = 5, seed: int = 42) -> DataFrame:
+    """(group, stratum, split): groups split within their stratum; strata of fewer than ``tiny`` groups go to train. Sizes round half to even."""
     rows = groups.select(F.col(group).alias("g"), F.coalesce(F.col(stratum), F.lit("uncoded")).alias("stratum")).where("g IS NOT NULL").groupBy("g").agg(F.min("stratum").alias("stratum"))
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(order_key(F.col("g"), seed=seed), "g")))
-    n_train, n_val = F.bround(F.col("n") * train), F.bround(F.col("n") * val)
-    split = F.when((F.col("n") < tiny) | (F.col("r") <= n_train), "train").when(F.col("r") <= n_train + n_val, "val").otherwise("test")
+    rows = ranked(rows.withColumn("o", order_key(F.col("g"), seed=seed)), "stratum", F.substring("o", 1, 3), ["o", "g"])
+    n_train, n_val = F.bround(F.col("size") * train), F.bround(F.col("size") * val)
+    split = F.when((F.col("size") < tiny) | (F.col("rank") <= n_train), "train").when(F.col("rank") <= n_train + n_val, "val").otherwise("test")
     return rows.select(F.col("g").alias(group), F.col("stratum").alias(stratum), split.alias("split"))
 
 
@@ -52,8 +63,8 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def floor_assignment(items: DataFrame, key: str, group: str, seed: int = 42) -> DataFrame:
     """(key, other): for each item another item of its group, by one step around the group's hash order; an item alone in its group gets null."""
-    w = Window.partitionBy(group).orderBy(order_key(F.col(key), seed=seed), key)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = items.select(key, group).distinct()
-    other = F.coalesce(F.lead(key).over(w), F.first(key).over(whole))
-    return rows.withColumn("other", other).select(key, F.when(F.col("other") != F.col(key), F.col("other")).alias("other"))
+    rows = items.select(F.col(key).alias("k"), F.col(group).alias("g")).distinct().withColumn("o", order_key(F.col("k"), seed=seed))
+    rows = ranked(rows, "g", F.substring("o", 1, 3), ["o", "k"])
+    after = rows.select(F.col("g").alias("g2"), F.col("rank").alias("r2"), F.col("k").alias("other"))
+    both = rows.join(after, rows["g"].eqNullSafe(after["g2"]) & (after["r2"] == F.col("rank") % F.col("size") + 1))
+    return both.select(F.col("k").alias(key), F.when(F.col("other") != F.col("k"), F.col("other")).alias("other"))

@@ -64,12 +64,10 @@ def _judged(s, d):
 
 
 def _consecutive_empty(s, d):
-    from pyspark.sql.window import Window
-
     p = table(s, d, "pair_records").select("load_id", "pair_id", "loaded_at", (T.word_count(F.col("answer")) == 0).alias("e"))
-    w = Window.partitionBy("load_id").orderBy("loaded_at", "pair_id", "e")
-    v = Window.partitionBy("load_id", "e").orderBy("loaded_at", "pair_id", "e")
-    runs = p.withColumn("g", F.row_number().over(w) - F.row_number().over(v)).where("e").groupBy("load_id", "g").agg(F.count("*").alias("n"))
+    hour = F.date_trunc("hour", "loaded_at")
+    every = splitting.ranked(p, "load_id", hour, ["loaded_at", "pair_id", "e"]).withColumnRenamed("rank", "r").drop("size").where("e")
+    runs = splitting.ranked(every, "load_id", hour, ["loaded_at", "pair_id"]).withColumn("g", F.col("r") - F.col("rank")).groupBy("load_id", "g").agg(F.count("*").alias("n"))
     return runs.groupBy("load_id").agg(F.max("n").alias("longest_empty_run"))
 
 
