@@ -53,7 +53,7 @@ def hits(pairs: DataFrame, opinions: DataFrame, artefact: bool = False) -> DataF
         return rows.drop("span", "source")
     easy = F.col("exact") | F.col("normalised") | F.col("word")
     hard = rows.withColumn("at", located(F.when(easy, None).otherwise(F.col("span")), F.when(easy, None).otherwise(F.col("source"))))
-    return hard.select("pair_id", "exact", "normalised", "word", (easy | F.col("at").isNotNull()).alias("artefact"))
+    return hard.select("pair_id", "exact", "normalised", "word", (easy | F.col("at.start").isNotNull()).alias("artefact"))
 
 
 def cumulative(rows: DataFrame) -> DataFrame:

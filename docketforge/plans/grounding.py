@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketforge.functions import seams
 from docketforge.functions import text as T
 from docketforge.operators import diagnose, quality, verify, windows
 from docketforge.plans import sqltext as S
@@ -123,6 +124,12 @@ def _gap_kinds(s, d):
     return p.select("pair_id", diagnose.gap_kind(F.substring("text", F.col("span_end").cast("int") + 1, F.lit(60))).alias("kind"))
 
 
+def _dry_run(s, d):
+    # Windows through the generator seam and the checks, end to end, with the quoting stand-in.
+    made = seams.generate(windows.windows(opinions(s, d)), seams.QuotingGenerator()).withColumn("pair_id", F.xxhash64("cluster_id", "chunk_index"))
+    return quality.validated(made, opinions(s, d)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def _chunk_snapped(s, d):
     return windows.windows(opinions(s, d), text=False)
 
@@ -133,7 +140,7 @@ QUERIES = {
     "word_offsets": _word_offsets, "chunk_windows": _chunk_windows, "chunk_snapped": _chunk_snapped, "chunk_bands": _chunk_bands, "coverage_report": lambda s, d: windows.coverage_report(opinions(s, d)), "band_share": lambda s, d: windows.band_share(opinions(s, d)),
     "longest_shared_run": _shared_run, "copy_filter": _copy_filter, "validate_reasons": _reasons, "quality_signals": _signals, "quality_by_type": lambda s, d: quality.report(pairs(s, d)), "trivial_flags": _flag_counts,
     "yes_no_guard": lambda s, d: pairs(s, d).select("pair_id", T.starts_yes_no(F.col("answer")).alias("yes_no")), "overlap_ratio": lambda s, d: pairs(s, d).select("pair_id", F.round(T.overlap_ratio(F.col("answer"), F.col("supporting_span")), 6).alias("ratio")),
-    "thin_documents": _thin_documents, "existing_quality": _existing_quality, "span_answer_ratio": _span_answer_ratio, "failure_class": _failure_classes, "gap_suggestions": _suggestions, "failure_class_rates": _class_rates, "gap_kind": _gap_kinds,
+    "thin_documents": _thin_documents, "existing_quality": _existing_quality, "span_answer_ratio": _span_answer_ratio, "failure_class": _failure_classes, "gap_suggestions": _suggestions, "failure_class_rates": _class_rates, "gap_kind": _gap_kinds, "generation_dry_run": _dry_run,
 }
 
 _BOTH = "pair_records p LEFT JOIN cleaned_opinions o USING (cluster_id)"
