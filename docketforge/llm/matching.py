@@ -220,26 +220,28 @@ def patterns(pairs: DataFrame) -> DataFrame:
     )
 
 
-def fit(counts: dict[tuple, int], n_left: int, rounds: int = 60) -> dict[tuple, float]:
+def fit(counts: dict[tuple, int], n_left: int, chance: dict[tuple, int] | None = None, rounds: int = 60) -> dict[tuple, float]:
     """Posterior of a match for each pattern of LEVELS, by expectation-maximization from their counts.
 
     A field's weight at a level is the log ratio of the level's probability among matches and among other pairs. The
-    number of matches is at most n_left. Patterns are at most the product of the levels, whatever the data's size.
+    number of matches is at most n_left. ``chance`` counts the patterns of pairs drawn at random, which are no matches:
+    where nearly every candidate is one, they alone tell what other pairs look like. Patterns are at most the product of the levels, whatever the data's size.
     """
     fields = list(LEVELS)
-    pats = list(counts)
-    n = np.array([counts[p] for p in pats], float)
+    pats = list({**counts, **(chance or {})})
+    n = np.array([counts.get(p, 0) for p in pats], float)
+    drawn = np.array([(chance or {}).get(p, 0) for p in pats], float)
     idx = np.array([[lv + 1 for lv in p] for p in pats])
     m = [np.full(LEVELS[f] + 1, 0.0) for f in fields]
     u = [np.full(LEVELS[f] + 1, 0.0) for f in fields]
     # The start: matches mostly agree, other pairs mostly don't, beyond how often levels occur among all pairs.
     for j, f in enumerate(fields):
-        every = np.bincount(idx[:, j], weights=n, minlength=LEVELS[f] + 1) + 1
+        every = np.bincount(idx[:, j], weights=n + drawn, minlength=LEVELS[f] + 1) + 1
         u[j] = every / every.sum()
         tilt = np.exp(1.5 * np.arange(-1, LEVELS[f])) / math.exp(1.5 * (LEVELS[f] - 1))
         tilt[0] = tilt[1:].mean()
         m[j] = u[j] * tilt / (u[j] * tilt).sum()
-    share = min(0.5, 0.7 * n_left / max(1.0, n.sum()))
+    share = min(0.9, 0.7 * n_left / max(1.0, n.sum()))
     post = np.zeros(len(pats))
     for _ in range(rounds):
         weight = sum(np.log(m[j][idx[:, j]]) - np.log(u[j][idx[:, j]]) for j in range(len(fields))) + math.log(share / (1 - share))
@@ -247,9 +249,9 @@ def fit(counts: dict[tuple, int], n_left: int, rounds: int = 60) -> dict[tuple,
         total = (post * n).sum()
         for j, f in enumerate(fields):
             a = np.bincount(idx[:, j], weights=n * post, minlength=LEVELS[f] + 1) + 0.5
-            b = np.bincount(idx[:, j], weights=n * (1 - post), minlength=LEVELS[f] + 1) + 0.5
+            b = np.bincount(idx[:, j], weights=n * (1 - post) + drawn, minlength=LEVELS[f] + 1) + 0.5
             m[j], u[j] = a / a.sum(), b / b.sum()
-        share = min(max(total / n.sum(), 1e-9), 0.5, 1.2 * n_left / n.sum())
+        share = min(max(total / n.sum(), 1e-9), 0.95, 1.2 * n_left / n.sum())
     return {p: float(x) for p, x in zip(pats, post)}
 
 
@@ -273,7 +275,13 @@ def match(clusters: DataFrame, cases: DataFrame, least: float = 0.5) -> DataFram
     rows = scored.groupBy(*LEVELS).agg(F.count("*").alias("n")).collect()
     if not rows:
         return scored.select("cluster_id", "caseid", F.lit(0.0).alias("confidence"), "dice")
-    post = fit({tuple(r[f] for f in LEVELS): r["n"] for r in rows}, left.select("id").distinct().count())
+    # About one pair for each left record, drawn by the records' hashes.
+    n_right = right.count()
+    at = lambda seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(n_right))
+    drawn = left.select(F.col("rep").alias("l"), at(1).alias("b")).join(right.select(F.col("rep").alias("r"), at(2).alias("b")), "b").select("l", "r")
+    chance = patterns(drawn.join(wide(left, "l"), "l").join(wide(right, "r"), "r")).groupBy(*LEVELS).agg(F.count("*").alias("n")).collect()
+    counted = lambda rs: {tuple(r[f] for f in LEVELS): r["n"] for r in rs}
+    post = fit(counted(rows), left.select("id").distinct().count(), counted(chance))
     spark = clusters.sparkSession
     table = spark.createDataFrame([(*p, x) for p, x in post.items()], ", ".join(f"{f} int" for f in LEVELS) + ", p double")
     # The table has one row a pattern: at most the product of the levels.
