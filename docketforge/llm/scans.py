@@ -220,7 +220,9 @@ def reflow(texts: DataFrame, titles: list[str]) -> DataFrame:
     )
 
 
-HYPHENATED = re.compile(rf"([^\s\{HYPHENS}]+(?:[-‐][^\s\{HYPHENS}]+)*)([\{HYPHENS}])[ \t]*\n[ \t]*(\S+)")
+LINE_HYPHEN = re.compile(rf"[\{HYPHENS}][ \t]*\n[ \t]*(?=\S)")
+WORD_END = re.compile(rf"[^\s\{HYPHENS}]+(?:[-‐][^\s\{HYPHENS}]+)*$")
+WORD_START = re.compile(r"\S+")
 
 
 def repair(flowed: str, lex: Lexicon, memo: dict) -> tuple[str, int, int, int]:
@@ -238,12 +240,12 @@ def repair(flowed: str, lex: Lexicon, memo: dict) -> tuple[str, int, int, int]:
             local = Counter(core(t) for t in flowed.split())
         return local
 
-    def join(m: re.Match) -> str:
+    def join(a: str, sign: str, b: str) -> str:
+        """What joins the words on both sides of a hyphen at the end of a line: nothing, a hyphen, or the line break as it is."""
         nonlocal breaks
-        a, sign, b = m[1], m[2], m[3]
         head, tail = core(a.rsplit("—", 1)[-1]), core(re.split("[—–]", b)[0])
         if not head or not tail or not tail[0].isalpha() or not head[-1].isalpha():
-            return m[0]
+            return f"{sign}\n"
         whole, hyphened = (head + tail).lower(), f"{head}-{tail}".lower()
         n, h = lex.counts.get(whole, 0), lex.counts.get(hyphened, 0)
         if not n and not h:
@@ -257,11 +259,16 @@ def repair(flowed: str, lex: Lexicon, memo: dict) -> tuple[str, int, int, int]:
             broken = sign in "¬­" or (tail[0].islower() and not (known(head.rsplit("-", 1)[-1]) and known(tail.split("-")[0])))
         if broken:
             breaks += 1
-            return a + b
-        return f"{a}-{b}"
-
-    # A broken word may be followed by another at the end of the same line: each match ends at the next word.
-    text = HYPHENATED.sub(join, flowed) if "\n" in flowed else flowed
+            return ""
+        return "-"
+
+    out, last = [], 0
+    for m in LINE_HYPHEN.finditer(flowed):
+        a = WORD_END.search(flowed, max(0, m.start() - 80), m.start())
+        if a:
+            out += [flowed[last : m.start()], join(a[0], flowed[m.start()], WORD_START.match(flowed, m.end())[0])]
+            last = m.end()
+    text = "".join([*out, flowed[last:]]) if out else flowed
     misread = 0
     tokens = text.split()
     fixed: dict[str, str] = {}
@@ -301,8 +308,9 @@ def repair(flowed: str, lex: Lexicon, memo: dict) -> tuple[str, int, int, int]:
             before = core(t)
         if fixed:
             text = re.sub(r"\S+", lambda m: fixed.get(m[0], m[0]), text)
-    paragraphs = [re.sub(r"\s*\n\s*", " ", p).strip() for p in re.split(r"\n[ \t]*\n\s*", text)]
-    return "\n\n".join(p for p in paragraphs if p), breaks, misread, stars
+    # Lines come without blanks at their ends, so an empty line is two breaks in a row.
+    paragraphs = [p.strip("\n").replace("\n", " ") for p in text.split("\n\n")]
+    return "\n\n".join([p for p in paragraphs if p]), breaks, misread, stars
 
 
 def _cased(word: str, form: str) -> str:
