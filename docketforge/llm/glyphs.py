@@ -224,6 +224,21 @@ def consistent_text(df: DataFrame, column: str, keys: list[str], text: bool = Tr
     return chosen.mapInArrow(run, schema)
 
 
+def spans_in_opinions(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
+    """(pair_id, as_is, consistent): whether a pair's span stands in its opinion as both are written, and in their consistent forms with white space squeezed.
+
+    Null where the span or the opinion is missing. Both sides are brought to their form once before they meet; AQE splits
+    an opinion that many pairs quote.
+    """
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    a = consistent_text(pairs, "supporting_span", ["pair_id", "cluster_id"]).select("pair_id", "cluster_id", squeezed(F.col("text")).alias("span"))
+    b = consistent_text(opinions, "text", ["cluster_id"]).select("cluster_id", squeezed(F.col("text")).alias("opinion"))
+    forms = a.join(b, "cluster_id", "left").select("pair_id", F.contains("opinion", "span").alias("consistent")).groupBy("pair_id").agg(F.max("consistent").alias("consistent"))
+    raw = pairs.select("pair_id", "cluster_id", "supporting_span").join(opinions.select("cluster_id", "text"), "cluster_id", "left")
+    raw = raw.groupBy("pair_id").agg(F.max(F.contains("text", "supporting_span")).alias("as_is"))
+    return raw.join(forms, "pair_id").select("pair_id", "as_is", "consistent")
+
+
 def found(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
     """p3_found: (tbl, record_id, kind), one row for each kind that occurs in a record's text."""
     a = consistent_text(pairs, "supporting_span", ["pair_id"], text=False).select(F.lit("pair_records").alias("tbl"), F.col("pair_id").alias("record_id"), F.explode("kinds").alias("kind"))

@@ -41,6 +41,10 @@ def _p3_consistent_opinions(s, d):
     return glyphs.consistent_text(table(s, d, "cleaned_opinions"), "text", ["cluster_id"])
 
 
+def _p3_span_in_opinion(s, d):
+    return glyphs.spans_in_opinions(table(s, d, "pair_records"), table(s, d, "cleaned_opinions"))
+
+
 def _p4_found(s, d):
     return answers.found(table(s, d, "pair_records"))
 
@@ -95,7 +99,7 @@ def _p10_composition(s, d):
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": _p1_found, "p1_clean": _p1_clean, "p2_found": _p2_found, "p2_match": _p2_match, "p3_found": _p3_found, "p3_consistent_spans": _p3_consistent_spans, "p3_consistent_opinions": _p3_consistent_opinions,
+    "p1_found": _p1_found, "p1_clean": _p1_clean, "p2_found": _p2_found, "p2_match": _p2_match, "p3_found": _p3_found, "p3_consistent_spans": _p3_consistent_spans, "p3_consistent_opinions": _p3_consistent_opinions, "p3_span_in_opinion": _p3_span_in_opinion,
     "p4_found": _p4_found, "p4_by_generator": _p4_by_generator, "p5_found": _p5_found, "p5_by_source": _p5_by_source, "p5_per_record": _p5_per_record, "p7_found": _p7_found, "p7_assignment": _p7_assignment,
     "p8_pack": _p8_pack, "p8_fill": _p8_fill, "p9_mix": _p9_mix, "p9_shares": _p9_shares, "p10_found": _p10_found, "p10_composition": _p10_composition,
 }
