@@ -2,8 +2,9 @@
 
 Each party of a case name, the citation and the date are encoded by q-grams as fixed bit vectors. Records whose
 vectors agree exactly on AGREE of the CHUNKS parts of the combined vector are candidates: a part can only differ if
-one of its bits does, so every pair within CHUNKS - AGREE differing bits is found. Fields are compared by Dice
-scores of their bits; the weights of the score levels and the share of matches come from expectation-maximization
+one of its bits does, so every pair within CHUNKS - AGREE differing bits is found, the parties standing in either
+order. Candidates besides are all pairs of one volume and page, and all pairs decided within NEAR_DAYS of each other in
+whose names some word differs by at most a slip. Fields are compared by Dice scores of their bits; the weights of the score levels and the share of matches come from expectation-maximization
 over the counts of score patterns, and the confidence is the posterior of a pair's pattern.
 """
 
@@ -118,7 +119,16 @@ def bits(text: str, q: int = 2) -> int:
     return vector
 
 
-ENCODED = "id string, rep long, a long, b long, la int, lb int, v int, g int, day int, t int, swapped int, sid string, area string, direction string, majority string, minority string"
+def slip_keys(name: str) -> list[int]:
+    """Hashes of the words of a name and of what is left of each without one of its letters.
+
+    Two words have a key in common if a letter is left out, added or replaced, or two neighbours are exchanged.
+    """
+    words = set(name.split())
+    return sorted({_hash(k) for w in words for k in (w, *(w[:i] + w[i + 1 :] for i in range(len(w) if len(w) > 3 else 0)))})
+
+
+ENCODED = "id string, rep long, a long, b long, la int, lb int, v int, g int, day int, t int, swapped int, sid string, area string, direction string, majority string, minority string, slips array<long>"
 
 
 def _signed(x: int) -> int:
@@ -139,8 +149,8 @@ def encode(df: DataFrame, id: str, name: str, cite: str, date: str, sid: str | N
                 a, b = parties(r.name)
                 v, g = citation(r.cite)
                 day, t, swapped = decided(r.date)
-                out.append((r.id, 0, _signed(bits(a)), _signed(bits(b)), len(a), len(b), v, g, day, t, swapped, authority_id(r.sid), r.area, r.direction, r.majority, r.minority))
-            frame = pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in ENCODED.split(",")])
+                out.append((r.id, 0, _signed(bits(a)), _signed(bits(b)), len(a), len(b), v, g, day, t, swapped, authority_id(r.sid), r.area, r.direction, r.majority, r.minority, slip_keys(f"{a} {b}")))
+            frame = pd.DataFrame(out, columns=[x.split(" ")[0] for x in ENCODED.split(", ")])
             for c in ("v", "g", "day", "t", "swapped"):
                 frame[c] = frame[c].astype("Int32")
             yield frame
@@ -161,17 +171,34 @@ def _parts(coded: DataFrame) -> DataFrame:
     )
 
 
+def _turned(coded: DataFrame) -> DataFrame:
+    """coded with the parties exchanged, where there are two."""
+    return coded.where("la > 0 AND lb > 0").withColumns({"a": F.col("b"), "b": F.col("a"), "la": F.col("lb"), "lb": F.col("la")})
+
+
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r): reps of left and right whose vectors agree on AGREE parts, each pair once.
+    """(l, r, agreeing): reps of left and right that may be the same, each pair once; agreeing if their vectors do as they stand.
 
-    The join is on the agreeing parts, so it splits like any other; its rows are pairs that agree, not all pairs.
+    Pairs whose vectors agree on AGREE parts, with the left parties in either order; pairs of equal volume and page; and
+    pairs decided within NEAR_DAYS of each other, the left day and month exchanged or not, with a word in common up to a
+    slip. The joins are on what agrees, so they split like any other; their rows are pairs that agree, not all pairs.
     """
 
     def keyed(df: DataFrame, as_: str) -> DataFrame:
         keys = [F.when(F.greatest(*[F.col(CHUNKS[i]).isNull() for i in combo]), None).otherwise(F.xxhash64(F.lit(n), *[F.col(CHUNKS[i]) for i in combo])) for n, combo in enumerate(combinations(range(len(CHUNKS)), AGREE))]
-        return _parts(df).select(F.col("rep").alias(as_), F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL")
+        cited = F.when(F.col("v").isNotNull() & F.col("g").isNotNull(), F.xxhash64(F.lit(-1), "v", "g")).alias("cited")
+        return _parts(df).select(F.col("rep").alias(as_), F.explode(F.array(*keys, cited)).alias("k"), cited).where("k IS NOT NULL")
 
-    return keyed(left, "l").join(keyed(right, "r"), "k").select("l", "r").distinct()
+    sides = keyed(left, "l").withColumn("agreeing", ~F.col("k").eqNullSafe(F.col("cited"))).unionByName(keyed(_turned(left), "l").withColumn("agreeing", F.lit(False)))
+    alike = sides.join(keyed(right, "r").drop("cited"), "k").select("l", "r", "agreeing")
+    # Days are numbered in spans so wide that those within NEAR_DAYS of a day lie in two of them at most.
+    span = lambda day: F.floor(day / (2 * NEAR_DAYS + 1)).cast("int")
+    days = left.select(F.col("rep").alias("l"), "slips", F.explode(F.array_compact(F.array("day", "swapped"))).alias("at"))
+    days = days.select("l", "slips", "at", F.explode(F.array_distinct(F.array(span(F.col("at") - NEAR_DAYS), span(F.col("at") + NEAR_DAYS)))).alias("span"))
+    days = days.select("l", "at", "span", F.explode("slips").alias("k"))
+    worded = days.join(right.select(F.col("rep").alias("r"), "day", span(F.col("day")).alias("span"), F.explode("slips").alias("k")), ["span", "k"])
+    near = worded.where(F.abs(F.col("at") - F.col("day")) <= NEAR_DAYS).select("l", "r", F.lit(False).alias("agreeing"))
+    return alike.union(near).groupBy("l", "r").agg(F.max("agreeing").alias("agreeing"))
 
 
 def _dice(a: str, b: str) -> F.Column:
@@ -268,11 +295,12 @@ def match(clusters: DataFrame, cases: DataFrame, least: float = 0.5) -> DataFram
     right = encode(cases, "caseid", "casename", "uscite", "datedecision", None, F.col("issuearea"), F.col("decisiondirection"), F.col("majvotes"), F.col("minvotes"))
     left, right = cut(left, "p2-left"), cut(right, "p2-right")
     pairs = candidates(left, right)
-    known = left.where("sid IS NOT NULL").select(F.col("rep").alias("l"), "sid").join(right.select(F.col("id").alias("sid"), F.col("rep").alias("r")), "sid").select("l", "r")
-    pairs = pairs.union(known).distinct()
-    wide = lambda df, p: df.select(*[F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in df.columns])
-    scored = cut(patterns(pairs.join(wide(left, "l"), "l").join(wide(right, "r"), "r")).select(F.col("l_id").cast("long").alias("cluster_id"), F.col("r_id").alias("caseid"), *LEVELS, "dice"), "p2-scored")
-    rows = scored.groupBy(*LEVELS).agg(F.count("*").alias("n")).collect()
+    known = left.where("sid IS NOT NULL").select(F.col("rep").alias("l"), "sid").join(right.select(F.col("id").alias("sid"), F.col("rep").alias("r")), "sid").select("l", "r", F.lit(True).alias("agreeing"))
+    pairs = pairs.union(known).groupBy("l", "r").agg(F.max("agreeing").alias("agreeing"))
+    wide = lambda df, p: df.select(*[F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in df.columns if c != "slips"])
+    scored = cut(patterns(pairs.join(wide(left, "l"), "l").join(wide(right, "r"), "r")).select(F.col("l_id").cast("long").alias("cluster_id"), F.col("r_id").alias("caseid"), *LEVELS, "dice", "agreeing"), "p2-scored")
+    # Pairs whose vectors don't agree as they stand are scored by the levels' weights among those that do.
+    rows = scored.groupBy(*LEVELS).agg(F.count_if("agreeing").alias("n")).collect()
     if not rows:
         return scored.select("cluster_id", "caseid", F.lit(0.0).alias("confidence"), "dice")
     # About one pair for each left record, drawn by the records' hashes.

@@ -44,6 +44,21 @@ def test_candidates_find_all_close_vectors(spark):
             assert (x["rep"], y["rep"]) in got
 
 
+def test_no_pair_scored_as_a_match_is_missed(spark):
+    """Of all pairs of sf0.01, those of one term and like names, in either order, are candidates."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    clusters, cases = read("clusters"), read("scdb_cases")
+    left = matching.encode(clusters, "cluster_id", "case_name", "citation", "date_filed", "scdb_id", *matching._cluster_columns(clusters))
+    right = matching.encode(cases, "caseid", "casename", "uscite", "datedecision", None, *[F.lit(None).cast("string")] * 4)
+    wide = lambda df, p: df.select(*[F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in df.columns])
+    pairs = matching.patterns(wide(left, "l").crossJoin(wide(right, "r"))).where("l_t = r_t AND dice >= 0.8").select("l", "r")
+    assert pairs.count() > 100 and pairs.join(matching.candidates(left, right), ["l", "r"], "left_anti").count() == 0
+    # Both names with a slip and turned round, no citation, the day off: nothing of the vectors agrees but the term.
+    one = matching.encode(spark.createDataFrame([(1, "Zeligeuz v. Kelavlo", None, "1977-04-24")], "id long, name string, cite string, date string"), "id", "name", "cite", "date", None, *[F.lit(None).cast("string")] * 4)
+    two = matching.encode(spark.createDataFrame([(2, "KELALVO v. ZELIGUEZ", None, "4/3/1977")], "id long, name string, cite string, date string"), "id", "name", "cite", "date", None, *[F.lit(None).cast("string")] * 4)
+    assert matching.candidates(one, two).count() == 1
+
+
 def test_matching_finds_noisy_copies(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).title()
