@@ -96,6 +96,24 @@ def test_overlap_against_brute_force(spark):
     assert overlap.overlaps(d.limit(0)).count() == 0
 
 
+def test_overlap_links_all_copies_of_a_copied_text(spark):
+    """Edits of one text, in train and in test: every pair that compares as the same comes out, named or not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    q, a = [word() for _ in range(20)], [word() for _ in range(40)]
+    rows = []
+    for i in range(60):
+        x, y = list(q), list(a)
+        for _ in range(2):
+            y[rng.randrange(40)] = word()
+        name = ["Kelquist", "Kelqiust", "Kelquists", "Keliquist"][i % 4] if i < 40 else word()
+        rows.append((i, " ".join([*x, name]), " ".join(y), "test" if i % 3 == 0 else "train"))
+    d = spark.createDataFrame(rows, "pair_id long, question string, answer string, split string")
+    made = {i: overlap.Record(f"{x.lower()} | {y}", overlap.names_of(f"{x} | {y}")) for i, x, y, _ in rows}
+    want = {(e[0], t[0]) for e in rows for t in rows if e[3] == "test" and t[3] == "train" and overlap.same(made[e[0]], made[t[0]])}
+    assert len(want) > 300 and {(r["eval_id"], r["train_id"]) for r in overlap.overlaps(d).collect()} == want
+
+
 def test_coverage_merges_intervals():
     assert overlap.coverage(list("abcdef"), list("abcd")) == pytest.approx(4 / 6) and overlap.coverage(list("ab"), list("ab")) == 1.0 and overlap.near("calim", "claim") and not overlap.near("june", "july")
 
