@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Every character that counts as white space, in a notation that several regex engines share.
 SPACE_SET = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE, SOLID = f"[{SPACE_SET}]", f"[^{SPACE_SET}]"
 TOKEN = "[a-z0-9§]+"
+UPPER_HALF = 0.500000000001
 
 # Typographic variants and what they are compared as.
 VARIANTS, PLAIN = "“”‘’–—− ", "\"\"''--- "
@@ -110,7 +115,62 @@ def overlap_ratio(a: Column, b: Column) -> Column:
     return F.when(F.size(ta) > 0, F.size(F.filter(ta, lambda w: F.array_contains(tb, w))) / F.size(ta)).otherwise(F.lit(0.0))
 
 
-def upper_median(x: Column) -> Column:
-    """The middle value, of two middle values the greater."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+def upper_median(column: str) -> Column:
+    """The middle value, of two middle values the greater; an aggregate over counts of the different values, not over rows."""
+    # Just above one half, so that of an even number of values the upper one of the middle is reached.
+    return F.expr(f"percentile_disc({UPPER_HALF}D) WITHIN GROUP (ORDER BY `{column}`)")
+
+
+def at_share(column: str, share: float) -> Column:
+    """The value at place floor(n * share) of the n values in order, from 0; over counts as well."""
+    return F.expr(f"percentile_disc({share + 1e-12}D) WITHIN GROUP (ORDER BY `{column}`)")
+
+
+def share_of_all(counts: DataFrame, n: str = "n", digits: int = 4, name: str = "pct") -> DataFrame:
+    """counts with each row's share of all in percent. counts is an aggregate of few rows, which the window holds in one task."""
+    return counts.withColumn(name, F.round(100 * F.col(n) / F.sum(n).over(Window.partitionBy()), digits))
+
+
+def _filled(x: Column, pattern: str, before: str, lengths: tuple[int, ...], behind: str, lead: int = 0) -> Column:
+    for n in lengths:
+        x = F.regexp_replace(x, pattern.format(n=n), before + " " * (n + lead) + behind)
+    return x
+
+
+def blanked(x: Column) -> Column:
+    """x with footnote marks behind punctuation, star pages and bracketed page numbers as blanks of equal length, so offsets stay."""
+    t = _filled(blank(x), r"""([.,;:”"'])[0-9]{{{n}}}(?=\s|$)""", "$1", (1, 2, 3), "")
+    t = _filled(_filled(t, r"\*\s[0-9]{{{n}}}", "", (4, 3, 2, 1), "", 2), r"\*[0-9]{{{n}}}", "", (4, 3, 2, 1), "", 1)
+    for a, b in ((1, 1), (1, 0), (0, 1), (0, 0)):
+        t = _filled(t, r"\[" + r"\s" * a + "[0-9]{{{n}}}" + r"\s" * b + r"\]", "", (4, 3, 2, 1), "", 2 + a + b)
+    return t
+
+
+#: Footnote marks behind punctuation, star pages and bracketed page numbers, for texts whose offsets needn't stay.
+MARKS = ((r"""([.,;:”"'])[0-9]{1,3}(?=\s|$)""", "$1 "), (r"\*\s?[0-9]{1,4}", " "), (r"\[\s?[0-9]{1,4}\s?\]", " "))
+
+
+def ascii_stream(x: Column) -> Column:
+    """Small letters a-z, digits and section signs without anything between them, footnote and page marks left out."""
+    t = blank(x)
+    for pattern, by in MARKS:
+        t = F.regexp_replace(t, pattern, by)
+    return F.regexp_replace(F.lower(t), "[^a-z0-9§]", "")
+
+
+def case_matches(words: list[str], *names: Column) -> Column:
+    """Whether every one of the words stands as a word of its own in the names taken together."""
+    hay = F.concat_ws(" ", *[F.lower(blank(n)) for n in names])
+    hits = [hay.rlike(r"\b" + re.escape(w.lower()) + r"\b") for w in words]
+    return functools.reduce(lambda a, b: a & b, hits, F.lit(True))
+
+
+def first_telling(fields: dict[str, Column], least: int = 50) -> Column:
+    """The first of the fields that has ``least`` words once its tags are blanks, with runs of blanks and of empty lines squeezed; '' if none has. A field named 'plain_text' keeps what looks like tags."""
+    def tidy(name: str, x: Column) -> Column:
+        t = blank(x) if name == "plain_text" else F.regexp_replace(blank(x), "<[^>]+>", " ")
+        return F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+
+    ready = [tidy(name, x) for name, x in fields.items()]
+    telling = F.coalesce(*[F.when(word_count(t) >= least, F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")) for t in ready])
+    return F.coalesce(telling, F.lit(""))

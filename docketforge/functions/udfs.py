@@ -48,15 +48,56 @@ def snapped(text: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([K.snapped(x or "", int(t)) for x, t in zip(text, target)], dtype="int32")
 
 
+def windowed(size: int, stride: int, least_last: int, snap: bool, text: bool):
+    """A UDF from a text to its windows, with each window's text if ``text``."""
+    names = ["chunk_index", "n_chunks", "start_word", "end_word", "char_start", "char_end"]
+    fields = [T.StructField(n, T.IntegerType()) for n in names] + ([T.StructField("text", T.StringType())] if text else [])
+
+    def one(x: str | None) -> list[dict]:
+        x = (x or "").strip()
+        made = [dict(zip(names, w)) for w in K.windows(x, size, stride, least_last, snap)]
+        return [w | {"text": x[w["char_start"] : w["char_end"]]} for w in made] if text else made
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(one, na_action=None)
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.ArrayType(T.StructType(fields)))
+
+
 @F.pandas_udf(PIECES)
 def pieced(span: pd.Series, text: pd.Series) -> pd.DataFrame:
     rows = [K.pieces(s or "", t or "") for s, t in zip(span, text)]
     return pd.DataFrame({"pieces": [[{"start": a, "end": b} for a, b in r[0]] for r in rows], "lost": [r[1] for r in rows]})
 
 
-@F.pandas_udf(T.StringType())
-def failure_class(span: pd.Series, window: pd.Series, document: pd.Series) -> pd.Series:
-    return pd.Series([K.failure_class(s or "", w or "", d or "") for s, w, d in zip(span, window, document)])
+@F.pandas_udf(T.DoubleType())
+def overlap_share(span: pd.Series, window: pd.Series) -> pd.Series:
+    """The share of the span's words in blocks that the window has in the same order; null where either is null."""
+    return pd.Series([None if s is None or w is None else K.overlap_share(list(s), list(w)) for s, w in zip(span, window)], dtype="float64")
+
+
+@F.pandas_udf(T.IntegerType())
+def divergence(span: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([K.divergence(s or "", t or "") for s, t in zip(span, text)], dtype="int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The longest run of words that two texts share, in words of functions.text.words()."""
+    return pd.Series([K.longest_run(K.words(x or ""), K.words(y or "")) for x, y in zip(a, b)], dtype="int32")
+
+
+SUMMARY = T.StructType([
+    T.StructField("n_sections", T.IntegerType()), T.StructField("kinds", T.MapType(T.StringType(), T.IntegerType())), T.StructField("binding_words", T.IntegerType()),
+    T.StructField("total_words", T.IntegerType()), T.StructField("confident", T.BooleanType()), T.StructField("binding_text", T.StringType()),
+])
+
+
+@F.pandas_udf(SUMMARY)
+def section_summary(text: pd.Series) -> pd.DataFrame:
+    rows = [K.summary(x or "") | {"binding_text": K.binding_text(x or "")} for x in text]
+    return pd.DataFrame(rows, columns=SUMMARY.names)
 
 
 @F.pandas_udf(_struct(T.DoubleType(), "rouge1_p", "rouge1_r", "rouge1_f", "rougeL_f", "meteor"))
@@ -75,5 +116,5 @@ def exact_interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
 
 def register(spark: SparkSession) -> None:
     """Makes the functions callable from SQL."""
-    for name, f in (("locate_span", located), ("nfkc", nfkc), ("segment", segmented), ("separate_boundary", separate_boundary), ("snap_break", snapped), ("quote_pieces", pieced), ("failure_class", failure_class), ("overlap_scores", overlap_scores), ("exact_interval", exact_interval)):
+    for name, f in (("locate_span", located), ("nfkc", nfkc), ("segment", segmented), ("separate_boundary", separate_boundary), ("snap_break", snapped), ("quote_pieces", pieced), ("overlap_share", overlap_share), ("longest_run", longest_run), ("section_summary", section_summary), ("overlap_scores", overlap_scores), ("exact_interval", exact_interval)):
         spark.udf.register(name, f)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from typing import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +14,15 @@ from docketforge.functions import text as T
 from docketforge.functions.udfs import overlap_scores
 
 
-def rouge1(rows: DataFrame, key: str, reference: str, prediction: str) -> DataFrame:
-    """(key, precision, recall, f1) of unstemmed words, by multiset intersection inside each row; zeros where either has none."""
+def rouge1(rows: DataFrame, key: str, reference: str, prediction: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, precision, recall, f1) of unstemmed words, by multiset intersection inside each row; zeros where either has none."""
     tokens = lambda c: F.regexp_extract_all(F.lower(T.blank(F.col(c))), F.lit("[a-z0-9]+"), F.lit(0))
-    r = rows.select(F.col(key), tokens(reference).alias("a"), tokens(prediction).alias("b"))
+    r = rows.select(F.col(key), *keep, tokens(reference).alias("a"), tokens(prediction).alias("b"))
     count = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
     common = F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda n, w: n + F.least(count(F.col("a"), w), count(F.col("b"), w)))
     r = r.withColumn("c", common)
     p, q = F.when(F.size("b") > 0, F.col("c") / F.size("b")).otherwise(F.lit(0.0)), F.when(F.size("a") > 0, F.col("c") / F.size("a")).otherwise(F.lit(0.0))
-    return r.select(key, F.round(p, 6).alias("precision"), F.round(q, 6).alias("recall"), F.round(F.when(F.col("c") > 0, 2 * p * q / (p + q)).otherwise(F.lit(0.0)), 6).alias("f1"))
+    return r.select(key, *keep, F.round(p, 6).alias("precision"), F.round(q, 6).alias("recall"), F.round(F.when(F.col("c") > 0, 2 * p * q / (p + q)).otherwise(F.lit(0.0)), 6).alias("f1"))
 
 
 def scored(rows: DataFrame, key: str, reference: str, prediction: str) -> DataFrame:
@@ -44,57 +47,122 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def hash_bootstrap(rows: DataFrame, group: str, key: str, value: str, resamples: int = 200, seed: int = 42) -> DataFrame:
-    """(group, n, mean, low, high): percentile interval of the mean over resamples in which a row's weight comes from its hash.
+#: Modulus of the hash family that draws the weights: products of two residues fit 64 bits in any engine.
+PRIME = (1 << 31) - 1
+#: Probability of at most 0, 1, ... 5 occurrences of a row in a resample: Poisson with mean 1.
+STEPS = [float(x) for x in np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])]
+RESAMPLES = 2000
+#: Groups whose sums a task holds before it hands them on.
+HELD = 500
+
+
+def coefficients(resamples: int, seed: int) -> np.ndarray:
+    """Three residues for each resample, from the md5 of seed and resample."""
+    marks = [hashlib.md5(f"{seed}#{r}".encode()).hexdigest() for r in range(resamples)]
+    return np.array([[int(m[i : i + 8], 16) % PRIME for i in (0, 8, 16)] for m in marks], np.int64).T
 
-    Each row gets a Poisson(1) weight for each resample from the md5 of seed, resample and key, so a resample needs no
-    row numbers and no shuffle: rows are aggregated where they lie. Any engine with md5 gets the same figures.
+
+def resample_sums(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(g, r, w, wv): for each group and resample the sum of the weights and of weight times value, from rows (g, k, v); r = -1 has each row once.
+
+    A row's weight in a resample is Poisson(1), drawn by a polynomial of its key's hash modulo PRIME, so it needs no row
+    number and no shuffle: tasks add up where the rows lie, and what is shuffled is one row for each group and resample.
+    """
+    a, b, c = coefficients(resamples, seed)
+    cuts = np.array([int(np.ceil(s * PRIME)) for s in STEPS], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for g, sums in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g] * (resamples + 1), pa.string()), pa.array(np.arange(-1, resamples), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], names=["g", "r", "w", "wv"])
+            held.clear()
+
+        for batch in batches:
+            groups, h, v = batch.column(0).to_pylist(), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            names, of = np.unique(np.array(groups, object), return_inverse=True)
+            for at in range(0, len(h), 256):
+                x = h[at : at + 256, None]
+                w = np.searchsorted(cuts, ((a * x + b) % PRIME * x + c) % PRIME, side="right").astype(float)
+                part, values = of[at : at + 256], v[at : at + 256]
+                for i in np.unique(part):
+                    mine = part == i
+                    sums = held.setdefault(names[i], np.zeros((2, resamples + 1)))
+                    sums[0, 0] += mine.sum()
+                    sums[1, 0] += values[mine].sum()
+                    sums[0, 1:] += w[mine].sum(axis=0)
+                    sums[1, 1:] += values[mine] @ w[mine]
+            if len(held) > HELD:
+                yield from told()
+        yield from told()
+
+    hashed = F.conv(F.substring(F.md5(F.col("k").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
+    given = rows.where("g IS NOT NULL AND v IS NOT NULL").select(F.col("g").cast("string").alias("g"), hashed.alias("h"), F.col("v").cast("double").alias("v"))
+    return given.mapInArrow(run, "g string, r int, w double, wv double").groupBy("g", "r").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
+
+
+def hash_bootstrap(rows: DataFrame, group: str, key: str, value: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """(group, n, mean, low, high): percentile interval of the mean over resample_sums(). Null values and groups are left out; a group without values has no row."""
+    sums = resample_sums(rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(value).alias("v")), resamples, seed)
+    m = F.when((F.col("r") >= 0) & (F.col("w") > 0), F.col("wv") / F.col("w"))
+    whole = lambda x: F.max(F.when(F.col("r") < 0, x))
+    out = sums.groupBy("g").agg(whole(F.col("w")).cast("long").alias("n"), whole(F.col("wv") / F.col("w")).alias("mean"), F.percentile(m, F.lit(0.025)).alias("low"), F.percentile(m, F.lit(0.975)).alias("high"))
+    return out.select(F.col("g").alias(group), "n", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+
+
+def aligned(rows: DataFrame, system: str, key: str, baseline: str) -> DataFrame:
+    """(system, items, missing, extra, aligned): whether a system has exactly the baseline's items, the condition of a paired comparison."""
+    keys = rows.select(F.col(system).alias("s"), F.col(key).alias("k")).groupBy("s", "k").agg(F.count("*").alias("n"))
+    base = keys.where(F.col("s") == baseline).select("k", F.col("n").alias("m"))
+    size = base.agg(F.count("*").alias("size"))
+    per = keys.where(F.col("s") != baseline).join(base, "k", "left").groupBy("s").agg(F.count("*").alias("items"), F.count_if(F.col("m") == F.col("n")).alias("common"))
+    out = per.crossJoin(F.broadcast(size)).select(F.col("s").alias(system), "items", (F.col("size") - F.col("common")).alias("missing"), (F.col("items") - F.col("common")).alias("extra"))
+    return out.withColumn("aligned", (F.col("missing") == 0) & (F.col("extra") == 0))
+
+
+def paired(rows: DataFrame, system: str, key: str, value: str, baseline: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """(system, n, mean_diff, p, significant): each system against ``baseline`` over the items both have, by hash_bootstrap()'s weights on the differences.
+
+    p is twice the smaller share of resamples on one side of 0; significant says that it is below 0.05.
     """
-    d = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    r = d.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    steps = np.cumsum([float(np.exp(-1)) / f for f in (1, 1, 2, 6, 24, 120)])
-    weight = F.when(u < float(steps[0]), 0)
-    for i in range(1, len(steps)):
-        weight = weight.when(u < float(steps[i]), i)
-    r = r.withColumn("w", weight.otherwise(len(steps)))
-    per = r.groupBy("g", "r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    ci = per.groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    every = d.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    return every.join(ci, "g").select(F.col("g").alias(group), "n", F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
-
-
-def bootstrap(rows: DataFrame, group: str, value: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """(group, n, mean, low, high) by resampling each group's values with NumPy; a group's values are one test set and fit a task. A group without values has no row."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf["v"].to_numpy(float))
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([v[rng.integers(0, len(v), (step, len(v)))].mean(axis=1) for step in [100] * (resamples // 100)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [len(v)], "mean": [round(v.mean(), 4)], "low": [round(low, 4)], "high": [round(high, 4)]})
-
-    d = rows.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND g IS NOT NULL")
-    return d.groupBy("g").applyInPandas(one, "g string, n long, mean double, low double, high double").withColumnRenamed("g", group)
-
-
-def paired(rows: DataFrame, system: str, key: str, value: str, baseline: str, resamples: int = 200, seed: int = 42) -> DataFrame:
-    """(system, n, mean_diff, p): each system against ``baseline`` over the items both have, by hash_bootstrap()'s weights on the differences; p is twice the smaller share of resamples on one side of 0."""
-    base = rows.where(F.col(system) == baseline).select(F.col(key), F.col(value).alias("base"))
-    diffs = rows.where(F.col(system) != baseline).join(base, key).select(F.col(system).alias("g"), F.col(key).alias("k"), (F.col(value) - F.col("base")).alias("v"))
-    r = diffs.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    # Rows at the half: each resample is half of the items, a delete-half jackknife on hashes.
-    per = r.where(u < 0.5).groupBy("g", "r").agg(F.avg("v").alias("m"))
-    side = per.groupBy("g").agg((F.count_if(F.col("m") > 0) / F.count("*")).alias("above"))
-    every = diffs.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("d"))
-    return every.join(side, "g").select(F.col("g").alias(system), "n", F.round("d", 4).alias("mean_diff"), F.round(2 * F.least(F.col("above"), 1 - F.col("above")), 4).alias("p"))
-
-
-def group_means(rows: DataFrame, fields: list[str], value: str) -> DataFrame:
-    """(field, level, n, mean): the mean of a measure by each field on its own, nulls as 'unknown'."""
-    tall = rows.select(F.col(value).alias("v"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("unknown")).alias("level")) for f in fields])).alias("x"))
-    return tall.groupBy("x.field", "x.level").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    base = rows.where(F.col(system) == baseline).select(F.col(key).alias("k"), F.col(value).alias("base"))
+    diffs = rows.where(F.col(system) != baseline).select(F.col(system).alias("g"), F.col(key).alias("k"), F.col(value).alias("value")).join(base, "k").select("g", "k", (F.col("value") - F.col("base")).alias("v"))
+    sums = resample_sums(diffs, resamples, seed).withColumn("m", F.when(F.col("w") > 0, F.col("wv") / F.col("w")))
+    whole = lambda x: F.max(F.when(F.col("r") < 0, x))
+    above = F.count_if((F.col("r") >= 0) & (F.col("m") > 0)) / F.count_if((F.col("r") >= 0) & F.col("m").isNotNull())
+    out = sums.groupBy("g").agg(whole(F.col("w")).cast("long").alias("n"), whole(F.col("m")).alias("d"), above.alias("above"))
+    p = F.round(2 * F.least(F.col("above"), 1 - F.col("above")), 4)
+    return out.select(F.col("g").alias(system), "n", F.round("d", 4).alias("mean_diff"), p.alias("p"), (p < 0.05).alias("significant"))
+
+
+def score_table(rows: DataFrame, system: str, key: str, metrics: list[str]) -> DataFrame:
+    """(system, metric, n, mean, low, high) of every measure of every system, with hash_bootstrap()'s intervals."""
+    tall = rows.select(F.col(key).alias("k"), F.col(system).alias("s"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x"))
+    out = hash_bootstrap(tall.select("k", F.concat_ws("|", "x.metric", "s").alias("name"), "x.v"), "name", "k", "v")
+    return out.select(F.regexp_extract("name", r"^[^|]*\|(.*)$", 1).alias(system), F.regexp_extract("name", r"^([^|]*)\|", 1).alias("metric"), "n", "mean", "low", "high")
+
+
+def verdicts(scores: DataFrame, system: str) -> DataFrame:
+    """(system, precision, recall, verbose) from score_table() with precision and recall: verbose if precision is below 0.6 of recall."""
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("mean")))
+    by = scores.groupBy(system).agg(of("precision").alias("precision"), of("recall").alias("recall"))
+    return by.withColumn("verbose", (F.col("recall") > 0) & (F.col("precision") / F.greatest("recall", F.lit(1e-9)) < 0.6))
+
+
+def greedy_similarity(a: Column, b: Column, baseline: float = 0.0) -> Column:
+    """(precision, recall, f) of two lists of token vectors: each vector with the one of the other list it is closest to, by cosine, shifted so that ``baseline`` is 0."""
+    best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: cosine(x, y)))), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    p, r = F.try_divide(best(b, a), F.size(b)), F.try_divide(best(a, b), F.size(a))
+    scaled = lambda x: (x - baseline) / (1 - baseline)
+    return F.struct(scaled(p).alias("precision"), scaled(r).alias("recall"), scaled(F.try_divide(2 * p * r, p + r)).alias("f"))
+
+
+def group_means(rows: DataFrame, fields: list[str], value: str, key: str) -> DataFrame:
+    """(field, level, n, mean, low, high): a measure by each field on its own, nulls as 'unknown', with hash_bootstrap()'s intervals."""
+    tall = rows.select(F.col(key).alias("k"), F.col(value).alias("v"), F.explode(F.array(*[F.concat_ws("|", F.lit(f), F.coalesce(F.col(f), F.lit("unknown"))) for f in fields])).alias("name"))
+    out = hash_bootstrap(tall, "name", "k", "v")
+    return out.select(F.substring_index("name", "|", 1).alias("field"), F.regexp_extract("name", r"^[^|]*\|(.*)$", 1).alias("level"), "n", "mean", "low", "high")
 
 
 def seed_spread(rows: DataFrame, system: str, seed: str, value: str) -> DataFrame:

@@ -68,3 +68,30 @@ def floor_assignment(items: DataFrame, key: str, group: str, seed: int = 42) ->
     after = rows.select(F.col("g").alias("g2"), F.col("rank").alias("r2"), F.col("k").alias("other"))
     both = rows.join(after, rows["g"].eqNullSafe(after["g2"]) & (after["r2"] == F.col("rank") % F.col("size") + 1))
     return both.select(F.col("k").alias(key), F.when(F.col("other") != F.col("k"), F.col("other")).alias("other"))
+
+
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ``position`` from 0 in the order of the columns. The first column, a number, is cut at its quantiles, so that rows are numbered in parts of about equal size."""
+    first = order[0]
+    marks = rows.agg(F.percentile_approx(first, [i / 64 for i in range(1, 64)], 10_000).alias("marks"))
+    bucket = F.size(F.filter(F.coalesce("marks", F.array()), lambda m: m < F.col(first)))
+    numbered = rows.crossJoin(F.broadcast(marks)).withColumn("__all", F.lit(1)).withColumn("__at", bucket).drop("marks")
+    return ranked(numbered, "__all", F.col("__at"), order).withColumn("position", F.col("rank") - 1).drop("rank", "size", "__all", "__at")
+
+
+def inner_val(train: DataFrame, group: str, share: float = 0.05, seed: int = 42) -> DataFrame:
+    """(group, inner_split): a share of the groups, at least one, for validation inside training; the rest stays in training."""
+    groups = train.select(F.col(group)).where(F.col(group).isNotNull()).distinct().withColumn("o", order_key(F.col(group), seed=seed)).withColumn("all", F.lit(1))
+    rows = ranked(groups, "all", F.substring("o", 1, 3), ["o", group])
+    n = F.greatest(F.lit(1), F.floor(F.col("size") * share))
+    return rows.select(group, F.when(F.col("rank") <= n, "val").otherwise("train").alias("inner_split"))
+
+
+def uncovered(parts: list[DataFrame], universe: DataFrame) -> DataFrame:
+    """(missing, extra): keys of the universe in none of the parts, and keys of the parts that the universe hasn't."""
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    count = lambda d: d.agg(F.count("*").alias("n"))
+    a, b = count(universe.subtract(union)), count(union.subtract(universe))
+    return a.select(F.col("n").alias("missing")).crossJoin(b.select(F.col("n").alias("extra")))

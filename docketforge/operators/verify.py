@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketforge.functions import text as T
-from docketforge.functions.udfs import located
+from docketforge.functions.udfs import located, longest_run
 
 METHODS = ("exact", "normalised", "word", "artefact")
 
 
 def prepared(opinions: DataFrame) -> DataFrame:
-    """(cluster_id, text and its forms): what the methods search in, made once for each opinion and not for each quotation."""
+    """(cluster_id, text and its forms): what the methods search in, made once for each opinion and not for each quotation.
+
+    A query that needs one form only has one only: the others are pruned.
+    """
     return opinions.select(
-        "cluster_id", F.col("text").alias("source"), T.normalised(F.col("text")).alias("source_normalised"),
-        F.concat(F.lit(" "), F.array_join(T.words(F.col("text")), " "), F.lit(" ")).alias("source_words"), T.stream(F.col("text")).alias("source_stream"),
+        "cluster_id", F.col("text").alias("source"), T.normalised(F.col("text")).alias("source_normalised"), _padded(F.col("text")).alias("source_words"),
+        T.ascii_stream(F.col("text")).alias("source_stream"),
     )
 
 
@@ -24,17 +27,37 @@ def with_source(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
     return pairs.join(prepared(opinions), "cluster_id", "left")
 
 
-def _word_hit(span: Column, source: Column) -> Column:
+def _padded(x: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(T.words(x), " "), F.lit(" "))
+
+
+def exact_hit(span: Column, source: Column) -> Column:
+    return F.coalesce((T.blank(span) != "") & F.contains(source, span), F.lit(False))
+
+
+def normalised_hit(span: Column, source: Column) -> Column:
+    form = T.normalised(span)
+    return F.coalesce((form != "") & F.contains(source, form), F.lit(False))
+
+
+def word_hit(span: Column, source: Column) -> Column:
     """Whether the span's words stand in the source in a row, or its parts around ellipses one behind the other."""
-    padded = lambda x: F.concat(F.lit(" "), F.array_join(T.words(x), " "), F.lit(" "))
-    whole = (F.size(T.words(span)) > 0) & (F.instr(source, F.lit("")) >= 0) & F.contains(source, padded(span))
+    row = _padded(span)
+    whole = (row != "  ") & F.contains(source, row)
     parts = F.filter(F.transform(T.elided_parts(span), lambda p: F.array_join(T.words(p), " ")), lambda p: p != "")
     # The place behind the last part found, or 0 once a part is missing; consecutive parts may share a blank.
-    step = lambda at, p: F.when(at <= 0, F.lit(0)).otherwise(F.when(F.call_function("locate", F.concat(F.lit(" "), p, F.lit(" ")), source, at) > 0, F.call_function("locate", F.concat(F.lit(" "), p, F.lit(" ")), source, at) + F.length(p) + 1).otherwise(0))
-    chained = (F.size(parts) > 1) & (F.aggregate(parts, F.lit(1), step) > 0)
+    place = lambda at, p: F.call_function("locate", F.concat(F.lit(" "), p, F.lit(" ")), source, at)
+    step = lambda at, p: F.when(at <= 0, F.lit(0)).otherwise(F.when(place(at, p) > 0, place(at, p) + F.length(p) + 1).otherwise(0))
+    # Only a span with an ellipsis has parts that could stand apart.
+    chained = F.when(span.rlike(r"\.[ ]*\.[ ]*\.|…"), (F.size(parts) > 1) & (F.aggregate(parts, F.lit(1), step) > 0)).otherwise(False)
     return F.coalesce(whole | chained, F.lit(False))
 
 
+def _tolerant(rows: DataFrame, easy: Column) -> Column:
+    """The tolerant matcher's verdict on the spans that nothing else found; only those leave the JVM."""
+    return located(F.when(easy, None).otherwise(F.col("span")), F.when(easy, None).otherwise(F.col("source")))["start"].isNotNull()
+
+
 def hits(pairs: DataFrame, opinions: DataFrame, artefact: bool = False) -> DataFrame:
     """pair_id and a boolean for each method on its own; ``artefact`` adds the tolerant matcher, which leaves the JVM.
 
@@ -42,34 +65,33 @@ def hits(pairs: DataFrame, opinions: DataFrame, artefact: bool = False) -> DataF
     the tolerant matcher.
     """
     both = with_source(pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span")), opinions)
-    there = T.blank(F.col("span")) != ""
     rows = both.select(
-        "pair_id", "span", "source",
-        F.coalesce(there & F.contains("source", "span"), F.lit(False)).alias("exact"),
-        F.coalesce(there & (T.normalised(F.col("span")) != "") & F.contains(F.col("source_normalised"), T.normalised(F.col("span"))), F.lit(False)).alias("normalised"),
-        _word_hit(F.col("span"), F.col("source_words")).alias("word"),
+        "pair_id", "span", "source", exact_hit(F.col("span"), F.col("source")).alias("exact"), normalised_hit(F.col("span"), F.col("source_normalised")).alias("normalised"),
+        word_hit(F.col("span"), F.col("source_words")).alias("word"),
     )
     if not artefact:
         return rows.drop("span", "source")
     easy = F.col("exact") | F.col("normalised") | F.col("word")
-    hard = rows.withColumn("at", located(F.when(easy, None).otherwise(F.col("span")), F.when(easy, None).otherwise(F.col("source"))))
-    return hard.select("pair_id", "exact", "normalised", "word", (easy | F.col("at.start").isNotNull()).alias("artefact"))
+    hard = rows.withColumn("at", _tolerant(rows, easy))
+    return hard.select("pair_id", "exact", "normalised", "word", (easy | F.col("at")).alias("artefact"))
+
 
+def first_method(pairs: DataFrame, opinions: DataFrame, artefact: bool = False) -> DataFrame:
+    """(pair_id, step): the number of the first of METHODS that finds a pair's span, or the number of methods for none.
 
-def cumulative(rows: DataFrame) -> DataFrame:
-    """Each method's hits together with those of the methods before it."""
-    seen, out = F.lit(False), ["pair_id"]
-    for m in METHODS:
-        if m in rows.columns:
-            seen = seen | F.col(m)
-            out.append(seen.alias(m))
-    return rows.select(*out)
+    The methods run in the order of their cost, each on what those before it missed.
+    """
+    both = with_source(pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span")), opinions)
+    step = F.when(exact_hit(F.col("span"), F.col("source")), 0).when(normalised_hit(F.col("span"), F.col("source_normalised")), 1).when(word_hit(F.col("span"), F.col("source_words")), 2).otherwise(3)
+    rows = both.select("pair_id", "span", "source", step.alias("step"))
+    if artefact:
+        rows = rows.withColumn("at", _tolerant(rows, F.col("step") < 3)).withColumn("step", F.when((F.col("step") < 3) | F.col("at"), F.col("step")).otherwise(4))
+    return rows.select("pair_id", "step")
 
 
-def failure_rates(rows: DataFrame) -> DataFrame:
-    """(method, candidates, failures, failure_pct) of each method of cumulative()."""
-    methods = [m for m in METHODS if m in rows.columns]
-    one = rows.agg(F.count("*").alias("candidates"), *[F.count_if(~F.col(m)).alias(m) for m in methods])
+def step_rates(steps: DataFrame, methods: tuple[str, ...] = METHODS[:3]) -> DataFrame:
+    """(method, candidates, failures, failure_pct) of each method together with those before it, from first_method()."""
+    one = steps.agg(F.count("*").alias("candidates"), *[F.count_if(F.col("step") > i).alias(m) for i, m in enumerate(methods)])
     tall = one.select("candidates", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("failures")) for m in methods])).alias("x"))
     return tall.select("x.method", "candidates", "x.failures", F.round(100 * F.col("x.failures") / F.col("candidates"), 4).alias("failure_pct"))
 
@@ -88,7 +110,7 @@ def grounding(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
     both = with_source(pairs.select("pair_id", "cluster_id", "supporting_span", "span_start", "span_end"), opinions)
     valid = (F.col("span_start") >= 0) & (F.col("span_end") > F.col("span_start"))
     piece = F.when(valid, F.substring("source", F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int")))
-    a, b = T.stream(piece), T.stream(F.col("supporting_span"))
+    a, b = T.ascii_stream(piece), T.ascii_stream(F.col("supporting_span"))
     either = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
     status = (
         F.when(F.col("source").isNull(), "no opinion").when(piece == F.col("supporting_span"), "exact").when(either, "located")
@@ -100,17 +122,56 @@ def grounding(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
 def longest_shared_run(pairs: DataFrame, a: str = "answer", b: str = "supporting_span", key: str = "pair_id") -> DataFrame:
     """(key, longest_run): the longest run of words that both texts of a row have in the same order without gaps; 0 if none.
 
-    Places of equal words lie on one diagonal if they belong to one run, and runs are the islands on it. The join is on
-    row and word, so no text is compared with another row's. Repeated rows come out repeated.
+    A row is looked at by itself, so nothing is shuffled. Repeated rows come out repeated.
+    """
+    return pairs.select(F.col(key), longest_run(T.blank(F.col(a)), T.blank(F.col(b))).alias("longest_run"))
+
+
+def counterfactual(span: Column) -> Column:
+    """A quotation with its sense changed: its first 'not' left out, else its first 'no', else 'never' put into its middle."""
+    words = F.split(T.squeeze(T.blank(span)), " ")
+    middle = F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))
+    inserted = F.array_join(F.array_insert(words, middle + 1, F.lit("never")), " ")
+    once = lambda w: F.concat(F.substring_index(span, w, 1), F.lit(" "), F.substring(span, F.instr(span, F.lit(w)) + len(w), F.length(span)))
+    return F.when(F.contains(span, F.lit(" not ")), once(" not ")).when(F.contains(span, F.lit(" no ")), once(" no ")).otherwise(inserted)
+
+
+# Fixed value: a sentence that no opinion holds.
+FABRICATED = "The Court further held that the statute was enacted in response to widespread public concern about the practice."
+
+
+def provenance(pairs: DataFrame, opinions: DataFrame, around: int = 450) -> DataFrame:
+    """One row for each pair with an opinion: the chain from the pair back to its source and the guard's answer to changed quotations.
+
+    (pair_id, cluster_id, case_name, citation, text_chars, text_words, depth_pct, window_start, window_end, slice,
+    slice_is_span, found_step, offsets_hold, altered_found, fabricated_found). The window reaches ``around`` characters
+    to both sides of the recorded offsets and is null without them; found_step is that of first_method() by the span as
+    it is; altered_found and fabricated_found say whether a verbatim, normalised or word match takes counterfactual() or
+    FABRICATED for a quotation.
     """
-    rows = pairs.select(F.col(key), F.xxhash64(key, a, b).alias("row"), T.words(F.col(a)).alias("wa"), T.words(F.col(b)).alias("wb")).groupBy(key, "row").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"), F.count("*").alias("times"))
-    # A text that is a text of the other's words in a row needs no join at all.
-    left = rows.select("row", F.posexplode("wa").alias("i", "w"))
-    right = rows.select("row", F.posexplode("wb").alias("j", "w"))
-    met = left.join(right, ["row", "w"]).select("row", (F.col("i") - F.col("j")).alias("d"), "i")
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("row", "d").orderBy("i")
-    runs = met.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy("row", "d", "island").agg(F.count("*").alias("n")).groupBy("row").agg(F.max("n").alias("longest_run"))
-    out = rows.join(runs, "row", "left").select(key, F.coalesce("longest_run", F.lit(0)).alias("longest_run"), "times")
-    return out.select(key, "longest_run", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__")).drop("__")
+    p = pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span"), "span_start", "span_end")
+    about = opinions.select("cluster_id", "case_name", "citation", F.length("text").alias("text_chars"), T.word_count(F.col("text")).alias("text_words"))
+    both = with_source(p, opinions).where("source IS NOT NULL").join(about, "cluster_id")
+    n, start, end = F.length("source"), F.col("span_start"), F.coalesce("span_end", "span_start")
+    valid = (start >= 0) & (start < end) & (end <= n)
+    piece = F.when(valid, F.substring("source", (start + 1).cast("int"), (end - start).cast("int")))
+    hit = lambda s: exact_hit(s, F.col("source")) | normalised_hit(s, F.col("source_normalised")) | word_hit(s, F.col("source_words"))
+    span = F.col("span")
+    step = F.when(exact_hit(span, F.col("source")), 0).when(normalised_hit(span, F.col("source_normalised")), 1).when(word_hit(span, F.col("source_words")), 2).otherwise(3)
+    at = F.when(T.blank(span) != "", F.instr("source", span))
+    return both.select(
+        "pair_id", "cluster_id", "case_name", "citation", "text_chars", "text_words", F.round(100 * start / F.greatest(n, F.lit(1)), 4).alias("depth_pct"),
+        F.when(start.isNotNull(), F.greatest(F.lit(0), start - around)).alias("window_start"), F.when(start.isNotNull(), F.least(n.cast("long"), end + around)).alias("window_end"),
+        piece.alias("slice"), F.coalesce(piece == span, F.lit(False)).alias("slice_is_span"), step.alias("found_step"),
+        F.coalesce((at > 0) & (at - 1 == start) & (at - 1 + F.length(span) == end), F.lit(False)).alias("offsets_hold"),
+        F.coalesce(hit(F.when(T.blank(span) != "", counterfactual(span))), F.lit(False)).alias("altered_found"), hit(F.lit(FABRICATED)).alias("fabricated_found"),
+    )
+
+
+def marked(pairs: DataFrame, opinions: DataFrame, before: str = ">>> ", behind: str = " <<<") -> DataFrame:
+    """(pair_id, marked): each pair's opinion with the recorded span between two marks; pairs without an opinion or valid offsets are left out."""
+    both = pairs.select("pair_id", "cluster_id", "span_start", "span_end").join(opinions.select("cluster_id", "text"), "cluster_id")
+    both = both.where((F.col("span_start") >= 0) & (F.col("span_start") < F.col("span_end")) & (F.col("span_end") <= F.length("text")))
+    cut_ = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
+    start, end = F.col("span_start"), F.col("span_end")
+    return both.select("pair_id", F.concat(cut_(F.lit(0), start), F.lit(before), cut_(start, end), F.lit(behind), cut_(end, F.length("text"))).alias("marked"))

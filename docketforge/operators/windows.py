@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketforge.functions import text as T
-from docketforge.functions.udfs import snapped
+from docketforge.functions.udfs import windowed
 
 
 @dataclass(frozen=True)
@@ -36,11 +36,6 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(f"{T.SOLID}+{T.SPACE}*"), F.lit(0))
 
 
-def start_of(tokens: Column, k: Column) -> Column:
-    """The offset of word number k: the length of all tokens before it."""
-    return F.length(F.array_join(F.slice(tokens, F.lit(1), k), ""))
-
-
 def word_offsets(opinions: DataFrame) -> DataFrame:
     """(row, cluster_id, i, start) of every word: a running sum of token lengths in each document."""
     docs = documents(opinions).withColumn("row", F.monotonically_increasing_id()).select("row", "cluster_id", F.posexplode(tokens(F.col("text"))).alias("i", "t"))
@@ -50,7 +45,18 @@ def word_offsets(opinions: DataFrame) -> DataFrame:
 
 def documents(opinions: DataFrame) -> DataFrame:
     """(cluster_id, text, total): stripped texts and their words; blank texts are left out."""
-    return opinions.select("cluster_id", stripped(F.col("text")).alias("text")).withColumn("total", T.word_count(F.col("text"))).where("total > 0")
+    return opinions.select("cluster_id", stripped(F.col("text")).alias("text")).where("text <> ''").withColumn("total", T.word_count(F.col("text")))
+
+
+def sizes(opinions: DataFrame) -> DataFrame:
+    """(cluster_id, total): the words of every text that has any; a filter on the count would count twice."""
+    return opinions.where(F.col("text").rlike(T.SOLID)).select("cluster_id", T.word_count(F.col("text")).alias("total"))
+
+
+def number(total: Column, c: WindowConfig) -> Column:
+    """How many windows a document of so many words has."""
+    raw = F.when(total <= c.words, 1).otherwise(F.ceil((total - c.words) / c.stride) + 1).cast("int")
+    return F.when((raw > 1) & (total - (raw - 1) * c.stride < c.least_last), raw - 1).otherwise(raw)
 
 
 def band(index: Column, n: Column, c: WindowConfig = WindowConfig()) -> Column:
@@ -66,10 +72,7 @@ def bounds(docs: DataFrame, c: WindowConfig = WindowConfig()) -> DataFrame:
     Windows begin every stride words until one reaches the end; a last one of fewer than least_last words is folded
     into the one before it. A document of at most ``words`` words is one window.
     """
-    raw = F.when(F.col("total") <= c.words, 1).otherwise(F.ceil((F.col("total") - c.words) / c.stride) + 1).cast("int")
-    last = F.col("total") - (raw - 1) * c.stride
-    n = F.when((raw > 1) & (last < c.least_last), raw - 1).otherwise(raw)
-    rows = docs.withColumn("n_chunks", n).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    rows = docs.withColumn("n_chunks", number(F.col("total"), c)).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
     start = F.col("chunk_index") * c.stride
     end = F.when(F.col("chunk_index") == F.col("n_chunks") - 1, F.col("total")).otherwise(start + c.words)
     return rows.withColumn("start_word", start).withColumn("end_word", end).withColumn("position", band(F.col("chunk_index"), F.col("n_chunks"), c))
@@ -83,34 +86,27 @@ def windows(opinions: DataFrame, c: WindowConfig = WindowConfig(), snap: bool =
     are code points of the stripped text, so substring(text, char_start + 1, char_end - char_start) is the window.
     Null and blank documents have no window; repeated rows have theirs each.
     """
-    docs = documents(opinions).withColumn("tokens", tokens(F.col("text")))
-    rows = bounds(docs, c)
-    start = start_of(F.col("tokens"), F.col("start_word"))
-    last = F.regexp_extract(F.element_at("tokens", F.col("end_word")), f"{T.SOLID}+", 0)
-    end = F.when(F.col("end_word") >= F.col("total"), F.length("text")).otherwise(start_of(F.col("tokens"), F.col("end_word") - 1) + F.length(last))
-    rows = rows.select("cluster_id", "chunk_index", "n_chunks", "start_word", "end_word", F.when(F.col("n_chunks") == 1, 0).otherwise(start).alias("char_start"), end.alias("char_end"), "position", "text")
-    if snap:
-        rows = rows.withColumn("char_start", F.when(F.col("chunk_index") == 0, F.col("char_start")).otherwise(snapped("text", "char_start")))
-    if not text:
-        return rows.drop("text")
-    return rows.withColumn("text", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    made = opinions.select("cluster_id", F.explode(windowed(c.words, c.stride, c.least_last, snap, text)("text")).alias("w")).select("cluster_id", "w.*")
+    names = ["cluster_id", "chunk_index", "n_chunks", "start_word", "end_word", "char_start", "char_end"]
+    return made.select(*names, band(F.col("chunk_index"), F.col("n_chunks"), c).alias("position"), *(["text"] if text else []))
 
 
 def coverage_report(opinions: DataFrame, c: WindowConfig = WindowConfig()) -> DataFrame:
-    """One row: opinions, chunks, median and most chunks of a document, chunks by position, words, covered words in percent."""
-    rows = bounds(documents(opinions).select("cluster_id", "total"), c)
-    per = rows.groupBy("cluster_id").agg(
-        F.count("*").alias("n"), F.max("total").alias("words"), F.max("end_word").alias("end"),
-        *[F.count_if(F.col("position") == p).alias(p) for p in ("early", "middle", "late")],
-    )
-    return per.agg(
-        F.count("*").alias("opinions"), F.sum("n").alias("chunks"), T.upper_median(F.col("n")).alias("median_chunks"), F.max("n").alias("max_chunks"),
-        F.sum("early").alias("early"), F.sum("middle").alias("middle"), F.sum("late").alias("late"), F.sum("words").alias("words"), F.round(100 * F.sum("end") / F.sum("words"), 1).alias("coverage_pct"),
+    """One row: opinions, chunks, median and most chunks of a document, chunks by position, words, covered words in percent.
+
+    A document's windows are counted inside its row, so only one row of sums leaves each task.
+    """
+    docs = sizes(opinions).withColumn("n", number(F.col("total"), c))
+    bands = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: band(i, F.col("n"), c))
+    docs = docs.select("n", "total", bands.alias("b"))
+    held = lambda p: F.sum(F.size(F.filter("b", lambda x: x == p)))
+    # The last window ends with the document, so every document is covered to its end.
+    return docs.agg(
+        F.count("*").alias("opinions"), F.sum("n").alias("chunks"), T.upper_median("n").alias("median_chunks"), F.max("n").alias("max_chunks"),
+        held("early").alias("early"), held("middle").alias("middle"), held("late").alias("late"), F.sum("total").alias("words"), F.round(100 * F.sum("total") / F.sum("total"), 1).alias("coverage_pct"),
     )
 
 
 def band_share(opinions: DataFrame, c: WindowConfig = WindowConfig()) -> DataFrame:
     """(position, n, pct): windows by band."""
-    by = bounds(documents(opinions).select("cluster_id", "total"), c).groupBy("position").agg(F.count("*").alias("n"))
-    total = by.agg(F.sum("n").alias("total"))
-    return by.crossJoin(F.broadcast(total)).select("position", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("pct"))
+    return T.share_of_all(bounds(sizes(opinions), c).groupBy("position").agg(F.count("*").alias("n")))

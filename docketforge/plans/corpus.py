@@ -22,8 +22,7 @@ def _annotated(lenient):
 
 
 def _match_share(s, d):
-    a = _annotated(True)(s, d).groupBy(F.coalesce("matched", F.lit("none")).alias("matched")).agg(F.count("*").alias("n"))
-    return a.crossJoin(F.broadcast(a.agg(F.sum("n").alias("t")))).select("matched", "n", F.round(100 * F.col("n") / F.col("t"), 4).alias("pct"))
+    return T.share_of_all(_annotated(True)(s, d).groupBy(F.coalesce("matched", F.lit("none")).alias("matched")).agg(F.count("*").alias("n")))
 
 
 def _unmatched_by_year(s, d):
@@ -65,16 +64,11 @@ def _gates(s, d):
 
 
 def _removed_share(s, d):
-    # Words removed count for every cluster that reached segmentation, words in all only for the kept ones.
-    g = corpus.gates(clusters(s, d), subs(s, d))
-    removed = F.sum(F.when(F.col("reason") != "no_primary", F.greatest(F.lit(0), F.col("words") - F.col("kept_words"))))
-    kept = F.sum(F.when(F.col("reason") == "kept", F.col("words")))
-    return g.agg(removed.alias("removed"), kept.alias("source_words"), F.round(F.try_divide(100 * removed, kept), 1).alias("pct"))
+    return corpus.removed_share(corpus.gates(clusters(s, d), subs(s, d)))
 
 
 def _upper_median(s, d):
-    w = T.word_count(F.col("text"))
-    return opinions(s, d).agg(F.min(w).alias("least"), T.upper_median(w).alias("median"), F.max(w).alias("most"))
+    return opinions(s, d).select(T.word_count(F.col("text")).alias("w")).agg(F.min("w").alias("least"), T.upper_median("w").alias("median"), F.max("w").alias("most"))
 
 
 def _binding_share(s, d):
@@ -131,10 +125,11 @@ def _members(s, d):
 
 
 def _upsert(s, d):
-    # Labels of the first load carry over to the rows of later loads with the same key.
-    rows = pairs(s, d).select("pair_id", "load_id", "question_type")
-    old = corpus.keep_one(rows.where("load_id = 1"), "pair_id", ["load_id", F.asc_nulls_last("question_type")]).select("pair_id", F.col("question_type").alias("label"))
-    return rows.where("load_id > 1").join(old, "pair_id", "left").select("pair_id", "load_id", "label")
+    # Labels of the first load carry over to the rows of later loads with the same document, window and quotation.
+    keys = ["cluster_id", "chunk_index", "supporting_span"]
+    rows = pairs(s, d).select(*keys, "pair_id", "load_id", "question_type")
+    old = corpus.keep_one(rows.where("load_id = 1"), keys, ["pair_id", F.asc_nulls_last("question_type")]).select(*keys, F.col("question_type").alias("label"))
+    return rows.where("load_id > 1").join(old, keys, "left").select("pair_id", "load_id", "label")
 
 
 def _top_categories(s, d):
@@ -165,22 +160,7 @@ def _group_leakage(s, d):
 
 
 def _case_words(s, d):
-    words = ["united", "states"]
-    hay = F.concat_ws(" ", F.lower(T.blank(F.col("case_name"))), F.lower(T.blank(F.col("court"))))
-    hit = F.lit(True)
-    for w in words:
-        hit = hit & hay.rlike(rf"\b{w}\b")
-    return clusters(s, d).where(hit).select("cluster_id", "ingested_at")
-
-
-def _json_pairs(s, d):
-    # A model's reply with prose and a fence around its object, as the parser has to take it.
-    one = F.to_json(F.struct(F.array(F.struct("question", "answer", "question_type", "supporting_span")).alias("qa_pairs")))
-    raw = F.concat(F.lit("Here it is:\n```json\n"), one, F.lit("\n```"))
-    obj = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    schema = "qa_pairs array<struct<question string, answer string, question_type string, supporting_span string>>"
-    rows = pairs(s, d).select("pair_id", F.from_json(obj, schema).alias("j"))
-    return rows.select("pair_id", F.explode("j.qa_pairs").alias("p")).select("pair_id", "p.question", "p.answer", "p.question_type", "p.supporting_span")
+    return clusters(s, d).where(T.case_matches(["united", "states"], F.col("case_name"), F.col("court"))).select("cluster_id", "ingested_at")
 
 
 QUERIES = {
@@ -192,7 +172,7 @@ QUERIES = {
     "clean_text": _clean_text, "clean_text_nfkc": _clean_nfkc, "html_text": lambda s, d: table(s, d, "documents").select("doc_id", T.without_tags(F.concat(F.lit("<p class='x'>"), F.col("text"), F.lit("</p><br/>"))).alias("text")),
     "passage_slice": _passages, "extractive_answer": lambda s, d: opinions(s, d).select("cluster_id", corpus.extractive_answer(F.col("text")).alias("answer")), "segment_sections": _sections, "separate_boundary": _boundaries, "section_kind_totals": _section_kinds,
     "topk_other": _top_categories, "stratified_split": _groups, "split_disjoint": _split_disjoint, "split_profile": lambda s, d: splitting.split_profile(pairs(s, d)), "leakage_pair_level": lambda s, d: splitting.leakage(pairs(s, d)), "leakage_group_level": _group_leakage,
-    "seeded_sample": lambda s, d: splitting.seeded_sample(pairs(s, d), "pair_id", 100), "floor_assignment": lambda s, d: splitting.floor_assignment(pairs(s, d), "pair_id", "cluster_id"), "case_word_match": _case_words, "json_pairs": _json_pairs,
+    "seeded_sample": lambda s, d: splitting.seeded_sample(pairs(s, d), "pair_id", 100), "floor_assignment": lambda s, d: splitting.floor_assignment(pairs(s, d), "pair_id", "cluster_id"), "case_word_match": _case_words,
 }
 
 _LATEST = "lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ingested_at DESC, case_name) AS rn FROM clusters) WHERE rn = 1)"
@@ -220,7 +200,7 @@ SQL = {
     "first_wins_dedup": "SELECT cluster_id, case_name, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ingested_at, case_name) AS rn FROM clusters) WHERE rn = 1", "last_wins_dedup": f"WITH {_LATEST} SELECT cluster_id, case_name, ingested_at FROM lc",
     "resume_anti_join": "SELECT pair_id, cluster_id, chunk_index FROM pair_records p WHERE NOT EXISTS (SELECT 1 FROM pair_records q WHERE q.load_id < 3 AND q.cluster_id = p.cluster_id AND q.chunk_index = p.chunk_index)",
     "semi_join_members": "SELECT pair_id FROM pair_records WHERE cluster_id IN (SELECT cluster_id FROM cleaned_opinions WHERE n_secondary > 0)",
-    "review_upsert": "SELECT p.pair_id, p.load_id, o.question_type AS label FROM pair_records p LEFT JOIN (SELECT * FROM (SELECT pair_id, question_type, row_number() OVER (PARTITION BY pair_id ORDER BY load_id, question_type NULLS LAST) AS rn FROM pair_records WHERE load_id = 1) WHERE rn = 1) o USING (pair_id) WHERE p.load_id > 1",
+    "review_upsert": "SELECT p.pair_id, p.load_id, o.question_type AS label FROM pair_records p LEFT JOIN (SELECT * FROM (SELECT cluster_id, chunk_index, supporting_span, question_type, row_number() OVER (PARTITION BY cluster_id, chunk_index, supporting_span ORDER BY pair_id, question_type NULLS LAST) AS rn FROM pair_records WHERE load_id = 1 AND cluster_id IS NOT NULL AND chunk_index IS NOT NULL AND supporting_span IS NOT NULL) WHERE rn = 1) o USING (cluster_id, chunk_index, supporting_span) WHERE p.load_id > 1",
     "primary_argmax": f"WITH {_SUBS}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY words DESC, opinion_id) AS rn FROM so WHERE opinion_type IN {_PRIM}) SELECT lc.cluster_id, r.opinion_id, r.words FROM lc JOIN (SELECT DISTINCT cluster_id FROM so) x USING (cluster_id) LEFT JOIN r ON r.cluster_id = lc.cluster_id AND r.rn = 1",
     "secondary_types": f"WITH {_SUBS} SELECT opinion_type AS type, count(*) AS n FROM so JOIN lc USING (cluster_id) WHERE opinion_type NOT IN {_PRIM} GROUP BY 1",
     "record_problems": f"SELECT cluster_id, list_filter([{', '.join(_NEED.values())}, CASE WHEN coalesce(date_filed, '') <> '' AND NOT regexp_matches(date_filed, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'date not ISO' END, CASE WHEN abs(coalesce(word_count, 0) - {S.word_count('text')}) > 1 THEN 'word count' END, CASE WHEN coalesce(primary_type, '') <> '' AND primary_type NOT IN {_PRIM} THEN 'separate writing' END], lambda x: x IS NOT NULL) AS problems FROM cleaned_opinions",
@@ -239,5 +219,6 @@ SQL = {
     "seeded_sample": f"SELECT pair_id FROM (SELECT DISTINCT pair_id FROM pair_records) ORDER BY {_MD5('pair_id')}, pair_id LIMIT 100",
     "floor_assignment": f"WITH r AS (SELECT DISTINCT pair_id, cluster_id FROM pair_records), o AS (SELECT pair_id, coalesce(lead(pair_id) OVER w, first_value(pair_id) OVER w) AS other FROM r WINDOW w AS (PARTITION BY cluster_id ORDER BY {_MD5('pair_id')}, pair_id)) SELECT pair_id, CASE WHEN other <> pair_id THEN other END AS other FROM o",
     "case_word_match": r"SELECT cluster_id, ingested_at FROM clusters WHERE regexp_matches(lower(coalesce(case_name, '') || ' ' || coalesce(court, '')), '\bunited\b') AND regexp_matches(lower(coalesce(case_name, '') || ' ' || coalesce(court, '')), '\bstates\b')",
-    "json_pairs": "SELECT pair_id, question, answer, question_type, supporting_span FROM pair_records",
+    # Sentences are counted up in their order; the one that reaches the words is the last.
+    "extractive_answer": rf"WITH s AS (SELECT cluster_id, unnest(string_split(regexp_replace({S.squeeze("coalesce(text, '')")}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) AS x, generate_subscripts(string_split(regexp_replace({S.squeeze("coalesce(text, '')")}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), 1) AS i FROM cleaned_opinions), r AS (SELECT *, sum({S.word_count('x')}) OVER (PARTITION BY cluster_id ORDER BY i) - {S.word_count('x')} AS before FROM s) SELECT cluster_id, string_agg(x, ' ' ORDER BY i) FILTER (WHERE before < 40) AS answer FROM r GROUP BY 1",
 }

@@ -29,6 +29,29 @@ def stream(x: str) -> str:
     return rf"regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}§]', '', 'g')"
 
 
+def blanked(x: str) -> str:
+    t = f"coalesce({x}, '')"
+    for n in (1, 2, 3):
+        t = rf"""regexp_replace({t}, '([.,;:”"''])[0-9]{{{n}}}([ \t\n\r\f\v]|$)', '\1{' ' * n}\2', 'g')"""
+    for gap in (1, 0):
+        for n in (4, 3, 2, 1):
+            t = rf"regexp_replace({t}, '\*{'[ \t\n\r\f\v]' * gap}[0-9]{{{n}}}', '{' ' * (1 + gap + n)}', 'g')"
+    for a, b in ((1, 1), (1, 0), (0, 1), (0, 0)):
+        for n in (4, 3, 2, 1):
+            t = rf"regexp_replace({t}, '\[{'[ \t\n\r\f\v]' * a}[0-9]{{{n}}}{'[ \t\n\r\f\v]' * b}\]', '{' ' * (2 + a + b + n)}', 'g')"
+    return t
+
+
+def ascii_stream(x: str) -> str:
+    t = rf"""regexp_replace(coalesce({x}, ''), '([.,;:”"''])[0-9]{{1,3}}([ \t\n\r\f\v]|$)', '\1 \2', 'g')"""
+    t = rf"regexp_replace(regexp_replace({t}, '\*[ \t\n\r\f\v]?[0-9]{{1,4}}', ' ', 'g'), '\[[ \t\n\r\f\v]?[0-9]{{1,4}}[ \t\n\r\f\v]?\]', ' ', 'g')"
+    return f"regexp_replace(lower({t}), '[^a-z0-9§]', '', 'g')"
+
+
+def sanitised(x: str) -> str:
+    return rf"regexp_replace({x}, '[\x{{00}}-\x{{08}}\x{{0B}}\x{{0C}}\x{{0E}}-\x{{1F}}\x{{FFFE}}\x{{FFFF}}]', ' ', 'g')"
+
+
 def clean_text(x: str) -> str:
     t = rf"regexp_replace(coalesce({x}, ''), '[\x{{00}}-\x{{08}}\x{{0B}}\x{{0C}}\x{{0E}}-\x{{1F}}\x{{7F}}]', '', 'g')"
     t = rf"regexp_replace({t}, '\[ *[Ff]ootnote +[0-9]+ *\]', ' ', 'g')"

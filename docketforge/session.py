@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,15 @@ def build_session(master: str = "local[*]", app: str = "docketforge", **options:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset a local session gets a temporary folder; on a cluster that is an error, as executors would write to
+    folders of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="docketforge-")
         spark.conf.set("spark.checkpoint.dir", named)
         atexit.register(_remove, spark, named)
@@ -45,16 +52,36 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables and folders that were written to the shared folder and not released yet.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own below shared_dir, removed by release() or when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def release() -> int:
+    """Removes what scratch() and cut() have written so far; returns how many. Call it once a query's result has been stored: the tables behind it are gone then."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _remove(*_WRITTEN.pop())
+    return n
+
+
 def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table below shared_dir and reads it back: the lineage ends there.
 
-    The table survives the loss of executors; it is removed when the driver's process ends.
+    The table survives the loss of executors; release() removes it, or the end of the driver's process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

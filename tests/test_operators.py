@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docketforge import config, session
 from docketforge.functions import seams
 from docketforge.functions import text as T
-from docketforge.operators import components, corpus, evaluate, profile, quality, splitting, verify, windows
-from docketforge.sources import readers
+from docketforge.operators import components, corpus, diagnose, evaluate, profile, quality, splitting, verify, windows
+from docketforge.sources import paged, readers
 
 
 def rows(df, *cols):
@@ -62,9 +63,157 @@ def test_longest_run_against_brute_force(spark):
 def test_verification(spark):
     o = spark.createDataFrame([(1, "The “rule” is U. S. C. based.  It holds, always and ever.")], "cluster_id long, text string")
     p = spark.createDataFrame([(1, 1, "It holds"), (2, 1, 'The "rule" is U.S.C. based.'), (3, 1, "it holds always AND ever"), (4, 1, "It never holds"), (5, 1, None), (6, 9, "It holds"), (7, 1, "The rule . . . always and ever"), (8, 1, "")], "pair_id long, cluster_id long, supporting_span string")
-    h = {r["pair_id"]: (r["exact"], r["normalised"], r["word"], r["artefact"]) for r in verify.cumulative(verify.hits(p, o, artefact=True)).collect()}
-    t = {1: 0, 2: 1, 3: 2, 7: 2}
-    assert {k: tuple(v) for k, v in h.items()} == {k: tuple(i >= t.get(k, 9) for i in range(4)) for k in range(1, 9)}
+    steps = {1: 0, 2: 1, 3: 2, 7: 2}
+    assert dict(rows(verify.first_method(p, o, artefact=True), "pair_id", "step")) == {k: steps.get(k, 4) for k in range(1, 9)}
+    h = {r["pair_id"]: (r["exact"], r["normalised"], r["word"], r["artefact"]) for r in verify.hits(p, o, artefact=True).collect()}
+    assert h[1] == (True,) * 4 and h[3] == (False, False, True, True) and h[4] == h[5] == h[6] == h[8] == (False,) * 4
+    assert [r["failures"] for r in verify.step_rates(verify.first_method(p, o)).collect()] == [7, 6, 4]
+
+
+def test_counterfactuals(spark):
+    d = spark.createDataFrame([("It is not so, not at all",), ("There is no doubt",), ("One two three four",), ("One",)], "s string")
+    assert [r[0] for r in d.select(verify.counterfactual(F.col("s"))).collect()] == ["It is so, not at all", "There is doubt", "One two never three four", "One never"]
+
+
+def test_failure_classes(spark):
+    window = "the quick brown fox jumps over the lazy dog near the river bank today"
+    o = spark.createDataFrame([(1, window)], "cluster_id long, text string")
+    spans = ["??", "the quick brown cat jumps over the lazy dog", "purple rain falls", "the quick, brown fox", window + " and more words than there are", None]
+    p = spark.createDataFrame([(i, 1, 0, s) for i, s in enumerate(spans)], "pair_id long, cluster_id long, chunk_index int, supporting_span string")
+    assert rows(diagnose.classes(p, o), "pair_id", "failure") == [(0, "empty"), (1, "near_miss"), (2, "fabricated"), (3, "cross_chunk"), (4, "span_exceeds_chunk")]
+
+
+def test_gap_kinds_know_lines_padded_by_any_space(spark):
+    gaps = ["x\n\t 12 \t\nand", "x\n\t3 See above", "[T]he", "plain words left out here", "see 12 U. S. 3"]
+    d = spark.createDataFrame([(g,) for g in gaps], "g string")
+    assert [r[0] for r in d.select(diagnose.gap_kind(F.col("g"))).collect()] == ["page_furniture", "page_furniture", "editorial_brackets", "prose_omitted", "citation_omitted"]
+
+
+def test_labels_by_a_person_go_first(spark):
+    d = spark.createDataFrame([(1, "citation_omitted"), (2, "page_furniture"), (3, None)], "pair_id long, suggested string")
+    m = spark.createDataFrame([(1, "fabrication"), (1, " "), (2, "")], "pair_id long, label string")
+    out = diagnose.labelled(d, m)
+    assert rows(out, "pair_id", "classification", "classified_by") == [(1, "fabrication", "person"), (2, "page_furniture", "suggestion"), (3, None, "suggestion")]
+    assert diagnose.review_rates(out, 10).count() == 0
+    rates = {r["label"]: r["n"] for r in diagnose.review_rates(out.where("pair_id < 3"), 10).collect()}
+    assert rates == {"fabrication": 1, "unfaithful_quotation": 1, "unmarked_omission": 0}
+    with pytest.raises(Exception, match="unknown class"):
+        diagnose.labelled(d, spark.createDataFrame([(1, "odd")], "pair_id long, label string")).collect()
+
+
+def test_trim(spark):
+    long = "word " * 600
+    c = spark.createDataFrame([(1, long + "SEPARATE"), (2, "short text. SEPARATE"), (3, long), (4, None)], "cluster_id long, text string")
+    a = spark.createDataFrame([(1, []), (2, []), (3, ["wrong_case"]), (4, [])], "cluster_id long, reasons array<string>")
+    cuts = spark.createDataFrame([(1, 3000), (2, 12), (3, 10)], "cluster_id long, cut_at long")
+    out = {r["cluster_id"]: r for r in corpus.trimmed(c, a, cuts).collect()}
+    assert out[1]["text"] == long.rstrip() and out[1]["cut_at"] == 3000 and out[1]["words_removed"] == 1
+    assert out[2]["reasons"] == ["below_min_words_after_trim"] and out[2]["text"].endswith("SEPARATE") and out[3]["reasons"] == ["wrong_case"] and out[3]["text"] == long and out[4]["text"] is None
+
+
+def test_replies_of_all_kinds(spark):
+    good = '{"qa_pairs": [{"question": "q", "answer": "a", "unknown": 1}]}'
+    replies = [f"```json\n{good}\n```", f"So: {good} Done.", '{"qa_pairs": [{"question": "q', '{"other": 1}', "nothing", None, ""]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i long, reply string")
+    out = {r["i"]: (r["state"], r["pairs"] and r["pairs"][0]["question"]) for r in seams.parsed(d).collect()}
+    assert out == {0: ("ok", "q"), 1: ("ok", "q"), 2: ("broken", None), 3: ("no_pairs", None), 4: ("broken", None), 5: ("broken", None), 6: ("broken", None)}
+
+
+def test_calls_and_batches():
+    answers, waits = iter([(500, "", None), (429, "", 7.0), (200, "body", None)]), []
+    assert seams.call(lambda t: next(answers), "x", sleep=waits.append) == "body" and waits == [2.0, 7.0]
+    with pytest.raises(seams.GaveUp):
+        seams.call(lambda t: (401, "", None), "x", sleep=waits.append)
+
+    def run(batch):
+        if len(batch) > 2:
+            raise MemoryError
+        return [x * 10 for x in batch]
+
+    assert seams.in_batches(list(range(9)), run, 8) == [x * 10 for x in range(9)]
+
+
+def test_paged_client():
+    class Flaky:
+        def __init__(self):
+            self.sizes, self.calls = [], 0
+
+        def page(self, window, cursor, size):
+            self.calls += 1
+            self.sizes.append(size)
+            if self.calls == 1:
+                return paged.Answer(None)
+            if self.calls == 2:
+                return paged.Answer(429, wait=1.0)
+            at = int(cursor or 0)
+            return paged.Answer(200, [{"i": i} for i in range(at, min(at + size, 12))], str(at + size) if at + size < 12 else None)
+
+    t, waits = Flaky(), []
+    got = list(paged.Client(t, sleep=waits.append).rows(("a", "b")))
+    assert [r["i"] for r in got] == list(range(12)) and t.sizes[:3] == [20, 10, 10] and waits[:2] == [2.0, 1.0]
+
+    class Closed:
+        def __init__(self, answer):
+            self.answer = answer
+
+        def page(self, window, cursor, size):
+            return self.answer
+
+    with pytest.raises(RuntimeError):
+        list(paged.Client(Closed(paged.Answer(403)), sleep=waits.append).rows(("a", "b")))
+    with pytest.raises(paged.QuotaExhausted):
+        list(paged.Client(Closed(paged.Answer(429, wait=4000.0)), sleep=waits.append).rows(("a", "b")))
+
+
+def test_settings(tmp_path):
+    f = tmp_path / "s.toml"
+    f.write_text('[settings]\nmodel = "m"\nchunk_overlap = 900\nunknown = 1\n')
+    s = config.Settings.read(str(f))
+    assert s.model == "m" and len(s.problems()) == 1 and "chunk_overlap" in s.problems()[0] and config.Settings().problems() == ["model is missing"]
+    assert config.Settings(model="m", most_copied_words=None).warnings() == ["most_copied_words isn't set"]
+
+
+def test_medians_and_shares(spark):
+    for n in (1, 2, 3, 4, 7, 10):
+        d = spark.range(n).select(F.col("id").alias("x"))
+        assert d.agg(T.upper_median("x")).first()[0] == n // 2
+    d = spark.range(1001).select(F.col("id").alias("x"))
+    assert d.agg(T.at_share("x", 0.1), T.at_share("x", 0.9)).first() == (100, 900)
+
+
+def test_positions_and_examples(spark):
+    d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), (F.col("id") % 3).alias("label"))
+    out = corpus.by_position(d, ["id"], spark.createDataFrame([(5, "v")], "position long, verdict string"))
+    assert out.where("position <> id").count() == 0 and rows(out.where("verdict = 'v'"), "id") == [5]
+    assert corpus.examples(d, "label", "id", 2).count() == 6
+    inner = splitting.inner_val(d, "id")
+    assert inner.where("inner_split = 'val'").count() == 50 and splitting.inner_val(d.where("id = 1"), "id").first()["inner_split"] == "val"
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Stub:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return None
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Stub)
+
+
+def test_release_removes_cut_tables(spark):
+    df = session.cut(spark.range(5))
+    path = df.inputFiles()[0]
+    assert df.count() == 5 and session.release() >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
 
 
 def test_first_and_last_win(spark):
@@ -127,8 +276,16 @@ def test_rouge_and_diagnostics(spark):
 
 def test_bootstraps_hold_the_mean(spark):
     d = spark.range(400).select(F.lit("s").alias("system"), F.col("id").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("v"))
-    for ci in (evaluate.hash_bootstrap(d, "system", "k", "v").first(), evaluate.bootstrap(d, "system", "v").first()):
-        assert ci["low"] < ci["mean"] < ci["high"] and ci["high"] - ci["low"] < 0.12
+    ci = evaluate.hash_bootstrap(d, "system", "k", "v").first()
+    assert ci["n"] == 400 and ci["low"] < ci["mean"] < ci["high"] and ci["high"] - ci["low"] < 0.12
+    # The interval of the normal approximation, up to the resamples' noise.
+    v = [r["v"] for r in d.collect()]
+    sd = (sum((x - ci["mean"]) ** 2 for x in v) / len(v)) ** 0.5 / len(v) ** 0.5
+    assert abs((ci["high"] - ci["low"]) / (2 * 1.96 * sd) - 1) < 0.1
+    both = d.unionByName(d.withColumn("system", F.lit("t")).withColumn("v", F.col("v") + 0.5)).unionByName(d.withColumn("system", F.lit("u")).withColumn("v", F.col("v") * F.when(F.col("k") % 2 == 0, 1.1).otherwise(0.9)))
+    p = {r["system"]: r for r in evaluate.paired(both, "system", "k", "v", "s").collect()}
+    assert p["t"]["p"] == 0 and p["t"]["significant"] and p["t"]["mean_diff"] == 0.5 and p["u"]["p"] > 0.05
+    assert evaluate.hash_bootstrap(d.limit(0), "system", "k", "v").count() == 0
 
 
 def test_profile(spark):
