@@ -78,27 +78,57 @@ def test_repeated_rows_stay_repeated(spark):
 Q, S = "What did the court decide about the Ovalford lease in May 1990?", "We hold that the Ovalford lease ended in May 1990 because the tenant had left the premises."
 
 
+SUBJECTS = "tenant owner broker lender surety carrier trustee bailee agent heir guest buyer".split()
+ACTS = "left the premises/broke the seal/paid the arrears/kept the keys/moved the fence/sold the crop/lost the deed/closed the gate/hired the crew/burned the shed".split("/")
+FORMS = ("What did the court decide about", "Why was there a ruling on", "How did the panel treat", "On what ground stood", "Which limit was set for")
+
+
+#: What quotations of any size hold of their language: the words of the sentences below.
+ENGLISH = "The court decided what it had to decide about the premises; sorry as one may be, no one can answer whether the question asks what did happen. The passage that the panel treats per curiam declined to set a limit, and which ground stood was cannot be said sua sponte, but tenants left. " + " lease; ".join(x.lower() for x in FORMS)
+
+
 def judged(spark, rows):
-    good = [(1000 + i, f"What did the court decide about lease {i}?", f"The court decided that lease {i} had ended because the tenant had left the premises.", S, "x") for i in range(40)]
-    good += [(2000 + i, f"Why did lease {i} end?", f"Lease {i} ended because the tenant had left the premises and the owner took it back.", S, "x") for i in range(40)]
+    """The defects among the rows, beside sound pairs: their answers say in other words what quotations say."""
+    good = []
+    for i, (who, act) in enumerate((w, x) for w in SUBJECTS for x in ACTS):
+        span = f"We hold that the Ovalford lease number {i} ended because the {who} {act} before the hearing in that month, and the judgment below is affirmed. {ENGLISH}"
+        good.append((1000 + i, f"{FORMS[0]} lease {i}?", f"The court decided that lease {i} had ended because the {who} {act} before the hearing.", span, "x"))
+        good.append((2000 + i, f"{FORMS[1]} lease {i}?", f"Lease {i} ended because the {who} {act} and the judgment below was affirmed.", span, "x"))
     d = spark.createDataFrame([*rows, *good], "pair_id long, question string, answer string, supporting_span string, defect string")
     return {r["pair_id"]: r["defect"] for r in answers.defects(d).collect()}
 
 
+FOREIGN = (
+    "La corte decidió que el contrato se terminó porque los inquilinos no pagaron la renta en mayo.", "El tribunal resolvió que la notificación llegó demasiado tarde y por eso devolvió el asunto a los jueces.",
+    "Los jueces advirtieron que los testigos no fueron creíbles ya que los plazos habían vencido entonces.", "Según la opinión, la ley exige una declaración clara porque el expediente no contiene pruebas suficientes.",
+)
+
+
 def test_defects(spark):
     rows = [(i, Q, a, S, None) for i, a in enumerate([
-        None, "  ", "N/A", Q, "The question asks what did the court decide about the Ovalford lease in May 1990?", "La corte decidió que el contrato se terminó porque los inquilinos no pagaron la renta en mayo.",
-        "I'm sorry, but I cannot answer that from the passage.", "The court decided that the lease had ended because the ten", "The court decided that the lease had ended because the tenant had left the premises",
-        "The court declined to answer whether the lease had ended because the tenant had left the premises.", "The court decided that the lease had ended because the", "The court decided that the lease had ended, because…",
-        "The court decided, per curiam and sua sponte, that the lease had ended because the tenant had left the premises.",
-    ])]
+        None, "  ", "N/A", Q, "The question asks what did the court decide about the Ovalford lease in May 1990?", "answered below",
+        "answered below", "The court decided that the lease had ended because the ten", "The court decided that the lease had ended because the tenant left the premises",
+        "The court declined to answer whether the lease had ended because the tenant left the premises.", "The court decided that the lease had ended because the", "The court decided that the lease had ended, because…",
+        "The court decided, per curiam and sua sponte, that the lease had ended because the tenant left the premises.",
+    ]) if a != "answered below"]
+    rows += [(100 + i, f"{form} the Ovalford lease in May?", "I'm sorry, but I cannot answer that from the passage.", S, None) for i, form in enumerate(FORMS)]
+    rows += [(200 + i, Q, a, S, None) for i, a in enumerate(FOREIGN)]
+    rows += [(300, "¿Por qué decidió el tribunal que el contrato se terminó entonces?", FOREIGN[0], S, None)]
     got = judged(spark, rows + [(1, None, None, None, None)])
-    assert got == {0: "empty_answer", 1: "empty_answer", 2: "empty_answer", 3: "copies_question", 4: "copies_question", 5: "other_language", 6: "refusal", 7: "truncated_answer", 10: "truncated_answer", 11: "truncated_answer"}
+    want = {0: "empty_answer", 1: "empty_answer", 2: "empty_answer", 3: "copies_question", 4: "copies_question", 7: "truncated_answer", 10: "truncated_answer", 11: "truncated_answer"}
+    assert got == want | {100 + i: "refusal" for i in range(5)} | {200 + i: "other_language" for i in range(4)}
+
+
+def test_defects_of_nothing(spark):
+    schema = "pair_id long, question string, answer string, supporting_span string"
+    assert answers.defects(spark.createDataFrame([], schema)).count() == 0
+    assert [tuple(r) for r in answers.defects(spark.createDataFrame([(1, None, None, None), (2, None, "Fine.", None)], schema)).collect()] == [(1, "empty_answer")]
 
 
-def test_answers_in_the_questions_language_are_sound():
-    assert not answers.other_language("¿Qué decidió el tribunal sobre el contrato?", "El tribunal decidió que el contrato no se podía terminar por la renta.")
-    assert answers.other_language("¿Qué decidió el tribunal sobre el contrato?", "The court decided that the lease was not to be ended by the owner.")
+def test_sentence_cells_keep_rows_apart():
+    cells, sentence, row, first = answers.sentence_cells(pa.array(["One two. Three", None, "", "abc"]))
+    assert row.tolist() == [0, 0, 3] and first.tolist() == [0, 8, 14] and sentence.tolist() == sorted(sentence.tolist())
+    assert answers.sentence_cells(pa.array([None, ""], pa.string()))[0].size == 0
 
 
 def test_template_clusters_join_near_openings(spark):
