@@ -14,22 +14,28 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketforge.llm.blocks import tree_sum
 from docketforge.session import cut, spread
 
 DEFECTS = ("hyphen_break", "misread_characters", "page_number", "running_header")
-#: Words and titles that make up at least this share of all are held by every task: at most 1 / SHARE of them.
-SHARE = 1e-6
+#: Times that a word or title must occur to count as known, whatever the size of the table; so many of them a task can hold.
 LEAST = 4
+MOST_KNOWN = 4_000_000
 #: A form gives way to one that is this many times as frequent.
 RATIO = 8
 #: Misread words from which on a text counts as misread.
 MISREAD = 3
-#: Cells of the table of word pairs; a fixed size, whatever the data's.
-PAIR_CELLS = 1 << 18
+#: Titles of which a table is sent to all executors; longer tables are joined by a shuffle.
+MOST_BROADCAST = 100_000
+#: Cells of the table of word pairs, a fixed size whatever the data's. What an ordinary cell holds is chance and is taken off every count.
+PAIR_CELLS = 1 << 19
+#: Share of all words from which on a word is so common that the word before it has to speak for another form.
+COMMON_SHARE = 1e-6
 FLUSH = 400_000
 
 # What is printed and what it is misread as.
@@ -115,10 +121,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush()
     if seen:
         yield from flush()
-    step = PAIR_CELLS // 16
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(16, pa.string()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array([np.minimum(pairs[i * step : (i + 1) * step], 2**31 - 1).astype(np.int32).tobytes() for i in range(16)], pa.binary())], names=["word", "n", "cell", "cells"]
-    )
+    part, blocks = TaskContext.get().partitionId(), pairs.reshape(16, -1)
+    yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.string()), pa.array(np.full(16, part, np.int64)), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["word", "n", "cell", "cells"])
 
 
 def word_id(word: str) -> int:
@@ -137,30 +141,33 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int], pairs: np.ndarray):
         self.counts, self.pairs = counts, pairs
+        self.chance = int(np.median(pairs)) if len(pairs) else 0
+        self.doubt = max(LEAST, COMMON_SHARE * (int(pairs.sum()) if len(pairs) else 0))
         self.groups: dict[str, list[str]] = {}
         for w in counts:
             self.groups.setdefault(skeleton(w), []).append(w)
 
     def follows(self, a: str, b: str) -> int:
-        return int(self.pairs[pair_cell(np.int64(word_id(a.lower())), np.int64(word_id(b.lower())))])
+        return max(0, int(self.pairs[pair_cell(np.int64(word_id(a.lower())), np.int64(word_id(b.lower())))]) - self.chance)
+
+
+def known(counts: DataFrame, column: str, n: str) -> list:
+    """The rows that occur LEAST times or more; tasks hold them all, so their number is checked first."""
+    rows = counts.where(F.col(n) >= LEAST)
+    rows = cut(rows, "p1-known")
+    if (many := rows.count()) > MOST_KNOWN:
+        raise ValueError(f"{many} different {column}s are more than a task can hold; repair parts of the corpus that belong together, or raise MOST_KNOWN")
+    return rows.select(column, n).toArrow().to_pylist()
 
 
 def lexicon(texts: DataFrame) -> Lexicon:
-    """From the column ``text``; the driver gets at most 1 / SHARE words and a table of fixed size."""
+    """From the column ``text``; the driver gets the words that occur LEAST times and a table of fixed size, added up in rounds."""
+    parts = texts.rdd.getNumPartitions()
     gathered = cut(texts.select("text").mapInArrow(_vocabulary, VOCABULARY), "p1-words")
     words = gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    counts = {r["word"]: r["n"] for r in words.where(F.col("n") >= max(LEAST, SHARE * total)).collect()}
-
-    def add(pdf):
-        import pandas as pd
-
-        cells = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["cells"])
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "cells": [np.minimum(cells, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    tables = {r["cell"]: r["cells"] for r in gathered.where("cell IS NOT NULL").select("cell", "cells").groupBy("cell").applyInPandas(add, "cell int, cells binary").collect()}
-    pairs = np.concatenate([np.frombuffer(tables[i], np.int32) for i in range(16)]) if tables else np.zeros(PAIR_CELLS, np.int32)
-    return Lexicon(counts, pairs)
+    counts = {r["word"]: r["n"] for r in known(words, "word", "n")}
+    blocks = gathered.where("cell IS NOT NULL").select(F.col("n").cast("int").alias("part"), F.col("cell").alias("block"), "cells")
+    return Lexicon(counts, tree_sum(blocks, parts, 16, PAIR_CELLS // 16).ravel())
 
 
 PAGE = r"^[\[(\-–—·\s]*(?:(?i:page|pg\.?|p\.)\s*)?#+(?:\s*(?:of|/)\s*#+)?[\])\-–—·\s]*$"
@@ -172,8 +179,8 @@ TITLED = r"^(?:\p{Lu}[\w'’]*\.?(?: (?:of|the|for|and|J\.,|C\. J\.,)|,)? ?)*(?:
 
 
 def _title(masked: Column) -> Column:
-    """Lines that may be section titles: few words, nearly all capitalised, no end of a sentence."""
-    return (F.length(masked) < 60) & masked.rlike(r"^\p{Lu}[\w'’.,\- ]*[\w]$") & ~masked.rlike(r"#") & ~masked.rlike(r"(?:^|\s)(?!(?:of|the|for|and|in|dissenting|concurring)\b)\p{Ll}") & masked.rlike(r"\s")
+    """Lines that may be section titles: nearly all words capitalised, no end of a sentence."""
+    return masked.rlike(r"^\p{Lu}[\w'’.,\- ]*[\w]$") & ~masked.rlike(r"#") & ~masked.rlike(r"(?:^|\s)(?!(?:of|the|for|and|in|dissenting|concurring)\b)\p{Ll}") & masked.rlike(r"\s")
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -181,12 +188,9 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def frequent_titles(texts: DataFrame) -> list[str]:
-    """Title-like lines that stand alone in many texts; at most 1 / SHARE of them."""
-    short = texts.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) BETWEEN 6 AND 60")
-    short = short.select(F.trim("line").alias("line"))
-    many = short.where(_title(F.col("line"))).groupBy("line").count()
-    total = many.agg(F.sum("count")).first()[0] or 0
-    return [r["line"] for r in many.where(F.col("count") >= max(LEAST, SHARE * total)).collect()]
+    """Title-like lines that stand alone LEAST times or more, in all texts together."""
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line")).where(_title(F.col("line")))
+    return [r["line"] for r in known(lines.groupBy("line").agg(F.count("*").alias("n")), "line", "n")]
 
 
 def reflow(texts: DataFrame, titles: list[str]) -> DataFrame:
@@ -199,14 +203,15 @@ def reflow(texts: DataFrame, titles: list[str]) -> DataFrame:
     w = Window.partitionBy("uid").orderBy("pos")
     masked = F.regexp_replace(F.trim("line"), "[0-9]", "#")
     lines = _lines(texts).withColumn("bare", F.trim("line"))
-    lines = lines.withColumn("short", F.length("bare") <= 110).withColumn("masked", F.when(F.col("short") & (F.col("bare") != ""), masked))
+    lines = lines.withColumn("masked", F.when(F.col("bare") != "", masked))
     # Only lines with a digit, a capital word or a title need the patterns.
     candidate = F.col("masked").isNotNull() & (F.col("masked").contains("#") | F.col("masked").rlike(r"\bV\.|\bv\. ") | _title(F.col("masked")))
     page = candidate & F.col("masked").rlike(PAGE)
     head = candidate & (F.col("masked").rlike(DOCKET) | F.col("masked").rlike(CITED) | F.col("masked").rlike(TERM) | F.col("masked").rlike(CAPTION) | F.col("masked").rlike(TITLED))
-    if titles:
-        head = head | (candidate & F.col("bare").isin(*titles)) if len(titles) <= 500 else head | (candidate & F.array_contains(F.array(*[F.lit(t) for t in titles]), F.col("bare")))
-    lines = lines.select("uid", "pos", "bare", page.alias("page"), head.alias("head"))
+    # Titles are known by a join; only lines that look like one take part.
+    named = texts.sparkSession.createDataFrame([(t, True) for t in titles], "title string, titled boolean").repartition(1)
+    lines = lines.select("uid", "pos", "bare", page.alias("page"), head.alias("head"), F.when(candidate & ~head & _title(F.col("masked")), F.col("bare")).alias("title"))
+    lines = lines.join(F.broadcast(named) if len(titles) <= MOST_BROADCAST else named, "title", "left").withColumn("head", F.col("head") | F.coalesce("titled", F.lit(False))).drop("title", "titled")
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     before, after = F.lag("bare").over(w), F.lead("bare").over(w)
     first = F.col("pos") == 0
@@ -264,7 +269,9 @@ def repair(flowed: str, lex: Lexicon, memo: dict) -> tuple[str, int, int, int]:
 
     out, last = [], 0
     for m in LINE_HYPHEN.finditer(flowed):
-        a = WORD_END.search(flowed, max(0, m.start() - 80), m.start())
+        # The word before the hyphen begins behind the last white space, however far back that is.
+        begin = max(flowed.rfind(c, last, m.start()) for c in " \n\t") + 1
+        a = WORD_END.search(flowed, max(begin, last), m.start())
         if a:
             out += [flowed[last : m.start()], join(a[0], flowed[m.start()], WORD_START.match(flowed, m.end())[0])]
             last = m.end()
@@ -296,18 +303,22 @@ def repair(flowed: str, lex: Lexicon, memo: dict) -> tuple[str, int, int, int]:
         if best:
             fixed[token] = token.replace(word, _cased(word, best), 1)
     if fixed:
-        before = ""
-        for t in tokens:
-            if t in fixed:
-                word = memo[t][1]
-                choices = memo[t][2]
-                if memo[t][0] != 2 or not choices or not before or lex.counts.get(word.lower(), 0) < LEAST or lex.follows(before, choices[0][0]) >= RATIO * max(1, lex.follows(before, word)):
+        before, at = "", 0
+        done: list[str] = []
+        for m in WORD_START.finditer(text):
+            t = m[0]
+            new = fixed.get(t)
+            if new is not None:
+                kind, word, choices = memo[t][:3]
+                # A known word gives way at this place only if the word before it speaks for the other form.
+                doubted = kind == 2 and choices and before and lex.counts.get(word.lower(), 0) >= lex.doubt
+                if not doubted or lex.follows(before, choices[0][0]) >= RATIO * max(1, lex.follows(before, word)):
                     misread += 1
-                else:
-                    fixed = {k: v for k, v in fixed.items() if k != t}
+                    done += [text[at : m.start()], new]
+                    at = m.end()
             before = core(t)
-        if fixed:
-            text = re.sub(r"\S+", lambda m: fixed.get(m[0], m[0]), text)
+        if done:
+            text = "".join([*done, text[at:]])
     # Lines come without blanks at their ends, so an empty line is two breaks in a row.
     paragraphs = [p.strip("\n").replace("\n", " ") for p in text.split("\n\n")]
     return "\n\n".join([p for p in paragraphs if p]), breaks, misread, stars

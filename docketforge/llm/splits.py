@@ -3,7 +3,7 @@
 Components of linked groups are weighed by their rows and put into many equal bins by the largest differencing
 method; whole bins then go to the splits. Differencing works on tuples of ``bins`` partial sums: a block of
 components is reduced to one tuple by repeatedly combining the two tuples of the largest spread, largest part on
-smallest, and the driver combines the blocks' tuples the same way. It holds one tuple a block, never a component.
+smallest, and the blocks' tuples are combined the same way in rounds, FAN of them in a task, until one is left.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from docketforge.session import cut
 
 #: Components in a block of the differencing; bounds a task's memory.
 BLOCK = 20_000
+#: Tuples that a task combines in a round.
+FAN = 64
 
 
 def question_key(column: str) -> F.Column:
@@ -110,6 +112,7 @@ def assign_splits(
     group: str = "cluster_id",
     text: str = "question",
     key: str = "pair_id",
+    block: int = BLOCK,
 ) -> DataFrame:
     """(key, group, component, new_split, new_bin) for every row of ``records``, at ``shares`` of the rows.
 
@@ -135,7 +138,7 @@ def assign_splits(
     placed = cut(placed.select("key", "g", "component"), "p7-placed")
     weights = cut(placed.groupBy("component").agg(F.count("*").alias("w")), "p7-weights")
     n = weights.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // block))
 
     def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["w", "component"], ascending=[False, True], kind="stable")
@@ -144,20 +147,29 @@ def assign_splits(
 
     local = weights.withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks)).cast("int"))
     local = cut(local.groupBy("block").applyInPandas(reduce_block, "block int, component long, w long, local long"), "p7-local")
-    # One tuple a block: blocks * bins rows, a BLOCK-th part of the components.
-    tuples = np.zeros((blocks, bins))
-    for r in local.groupBy("block", "local").agg(F.sum("w").alias("w")).collect():
-        tuples[r["block"], r["local"]] = r["w"]
-    glob = difference_tuples(tuples)
+    where = local.select("component", F.col("block").alias("b"), F.col("local").alias("l"))
+    level, n = local.groupBy("block", "local").agg(F.sum("w").alias("w")), blocks
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.sort(pdf["block"].unique())
+        tuples = np.zeros((len(names), bins))
+        tuples[np.searchsorted(names, pdf["block"]), pdf["local"]] = pdf["w"]
+        to = difference_tuples(tuples)
+        grid = np.meshgrid(names, np.arange(bins), indexing="ij")
+        return pd.DataFrame({"block": grid[0].ravel(), "local": grid[1].ravel(), "w": tuples.ravel().astype(np.int64), "parent": int(names[0]) // FAN, "into": to.ravel()})
+
+    while n > 1:
+        step = cut(level.groupBy(F.floor(F.col("block") / FAN)).applyInPandas(combine, "block int, local long, w long, parent int, into long"), "p7-level")
+        level = step.groupBy(F.col("parent").alias("block"), F.col("into").alias("local")).agg(F.sum("w").alias("w"))
+        where = where.join(step.select(F.col("block").alias("b"), F.col("local").alias("l"), "parent", "into"), ["b", "l"]).select("component", F.col("parent").alias("b"), F.col("into").alias("l"))
+        n = -(-n // FAN)
+    # One tuple is left: as many rows as bins.
     sums = np.zeros(bins)
-    np.add.at(sums, glob.ravel(), tuples.ravel())
+    for r in level.collect():
+        sums[r["local"]] = r["w"]
     names = allocate(sums, shares)
-    spark = records.sparkSession
-    lookup = spark.createDataFrame(
-        [(b, j, int(glob[b, j]), names[int(glob[b, j])]) for b in range(blocks) for j in range(bins)],
-        "block int, local long, new_bin int, new_split string",
-    )
-    where = local.join(lookup, ["block", "local"]).select("component", "new_bin", "new_split")
+    lookup = records.sparkSession.createDataFrame([(j, names[j]) for j in range(bins)], "new_bin long, new_split string")
+    where = where.select("component", F.col("l").alias("new_bin")).join(F.broadcast(lookup), "new_bin").select("component", F.col("new_bin").cast("int").alias("new_bin"), "new_split")
     return placed.join(where, "component").select(F.col("key").alias(key), F.col("g").alias(group), "component", "new_split", "new_bin")
 
 

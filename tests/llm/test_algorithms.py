@@ -179,3 +179,34 @@ def test_mix_meets_its_shares(spark):
 def test_token_counts(spark):
     d = spark.createDataFrame([(1, "The lease ran for ten years."), (2, None), (3, "")], "doc_id long, text string")
     assert [r["tokens"] for r in tokens.with_tokens(d, "text", ["doc_id"]).orderBy("doc_id").collect()] == [7, 0, 0]
+
+
+def test_blocks_add_up_in_rounds(spark):
+    import numpy as np
+
+    from docketforge.llm import blocks
+
+    table = lambda i: np.arange(12).reshape(3, 4) + i
+    rows = [(i, b, table(i)[b].astype(np.int64).tobytes()) for i in range(40) for b in range(3)]
+    got = blocks.tree_sum(spark.createDataFrame(rows, blocks.BLOCKS), 40, 3, 4)
+    assert (got == sum(table(i) for i in range(40))).all()
+
+
+def test_splits_by_rounds_of_blocks(spark):
+    d = spark.range(6000).select(F.col("id").alias("pair_id"), (F.col("id") % 900).alias("cluster_id"), F.concat(F.lit("question number "), F.col("id").cast("string")).alias("question"))
+    out = splits.assign_splits(d, block=8)
+    shares = {r["new_split"]: r["count"] for r in out.groupBy("new_split").count().collect()}
+    assert out.count() == 6000 and abs(shares["train"] - 4800) < 120 and abs(shares["val"] - 600) < 60 and out.select("cluster_id", "new_split").distinct().count() == 900
+
+
+def test_overlaps_with_both_sides_of_a_shard_split(spark, monkeypatch):
+    text = lambda i: f"The {WORDS_[i % 7]} of Ovalford and {WORDS_[i // 7 % 7]} were held to 40 dollars under the lease"
+    rows = [(i, "train" if i % 2 else "test", f"What did the court hold about the {WORDS_[i % 7]} and {WORDS_[i // 7 % 7]}?", text(i)) for i in range(98)]
+    d = spark.createDataFrame(rows, "pair_id long, split string, question string, answer string")
+    whole = {(r["eval_id"], r["train_id"]) for r in overlap.overlaps(d).collect()}
+    monkeypatch.setattr(overlap, "SHARD_TEXTS", 5)
+    monkeypatch.setattr(overlap, "SHARD_EVALS", 7)
+    assert whole and whole == {(r["eval_id"], r["train_id"]) for r in overlap.overlaps(d).collect()}
+
+
+WORDS_ = "tenant broker surety carrier trustee bailee guest".split()

@@ -73,6 +73,28 @@ def test_repeated_rows_stay_repeated(spark):
     assert scans.scans({"t": d}).count() == 2 and scans.scans({"t": d.limit(0)}).count() == 0
 
 
+def test_each_place_of_a_word_is_judged_by_itself():
+    lex = scans.Lexicon({"tenant": 900, "tenanf": 20, "the": 9000, "zeal": 50}, np.zeros(scans.PAIR_CELLS, np.int64))
+    cell = lambda a, b: scans.pair_cell(np.int64(scans.word_id(a)), np.int64(scans.word_id(b)))
+    lex.pairs[cell("the", "tenant")] = 500
+    lex.pairs[cell("zeal", "tenanf")] = 20
+    assert scans.repair("the tenanf left and zeal tenanf went", lex, {}) == ("the tenant left and zeal tenanf went", 0, 1, 0)
+
+
+def test_repair_is_the_same_in_a_larger_table(spark):
+    page = "The tenant left the premises before the hearing, and the owner took the premises back.\nThe fenant had kept the keys to the pre-\nmises for a month."
+    rows = [(i, page.replace("month", f"month{i % 9}")) for i in range(12)]
+    once = spark.createDataFrame(rows, "id long, text string")
+    tenfold = spark.createDataFrame([(100 * k + i, t) for k in range(10) for i, t in rows], "id long, text string")
+    got = [{r["clean"] for r in scans.scans({"t": d}).collect()} for d in (once, tenfold)]
+    assert got[0] == got[1] and all("premises for" in x and "fenant" not in x for x in got[0])
+
+
+def test_long_words_before_hyphens_are_seen_whole():
+    lex = scans.Lexicon({}, np.zeros(scans.PAIR_CELLS, np.int64))
+    assert scans.repair("a" * 200 + "-\nbcd", lex, {})[:2] == ("a" * 200 + "bcd", 1)
+
+
 # ---------------------------------------------------------------- answers
 
 Q, S = "What did the court decide about the Ovalford lease in May 1990?", "We hold that the Ovalford lease ended in May 1990 because the tenant had left the premises."
@@ -107,7 +129,7 @@ FOREIGN = (
 def test_defects(spark):
     rows = [(i, Q, a, S, None) for i, a in enumerate([
         None, "  ", "N/A", Q, "The question asks what did the court decide about the Ovalford lease in May 1990?", "answered below",
-        "answered below", "The court decided that the lease had ended because the ten", "The court decided that the lease had ended because the tenant left the premises",
+        "answered below", "The court decided that the lease had ended because the ten", "The court decided that the lease had ended because the tenant left the premises before the hearing",
         "The court declined to answer whether the lease had ended because the tenant left the premises.", "The court decided that the lease had ended because the", "The court decided that the lease had ended, because…",
         "The court decided, per curiam and sua sponte, that the lease had ended because the tenant left the premises.",
     ]) if a != "answered below"]
