@@ -298,9 +298,16 @@ def test_profile(spark):
     assert profile.profile(d.limit(0), "load_id", rules=rules).count() == 0
 
 
-def test_induction_leaves_rare_shapes_out():
-    chosen = profile.induce([("a", 900.0, 9000.0), ("9-9", 400.0, 4000.0), ("A! a?", 1.0, 9.0)])
-    assert chosen == ["a", "9-9"] and profile.expression_of("9-9") == r"[0-9]+\-[0-9]+"
+def test_induction_leaves_rare_shapes_out(spark):
+    d = spark.createDataFrame([("a", 900.0, 9000.0), ("9-9", 400.0, 4000.0), ("A! a?", 1.0, 9.0), ("…", 2.0, 900.0)], "shape string, n double, chars double")
+    assert rows(d.where(profile.pays(F.col("shape"), F.col("n"), F.col("chars"), F.lit(1303.0))), "shape") == ["9-9", "a", "…"]
+    assert spark.range(1).select(profile.expression_of(F.lit("Aa 9-9"))).first()[0] == r"\p{Lu}+\p{Ll}+ [0-9]+\-[0-9]+"
+
+
+def test_induction_takes_a_shape_of_few_among_many(spark):
+    """900 values of one shape pay for an expression however many other values the column has."""
+    n, chars, total = F.lit(900.0), F.lit(9000.0), F.lit(10_000_000.0)
+    assert spark.range(1).where(profile.pays(F.lit("AAA-9"), n, chars, total)).count() == 1
 
 
 def test_jsonl_skips_broken_lines(spark, tmp_path):
