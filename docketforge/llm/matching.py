@@ -317,7 +317,7 @@ def match(clusters: DataFrame, cases: DataFrame, least: float = 0.5) -> DataFram
     w = Window.partitionBy("cluster_id")
     # Odds of each case against the others and against none of them.
     odds = F.least(F.col("p"), F.lit(1 - 1e-9)) / (1 - F.least(F.col("p"), F.lit(1 - 1e-9)))
-    ranked = best.where("p > 0.01").withColumn("odds", odds).withColumn("confidence", F.col("odds") / (1 + F.sum("odds").over(w)))
+    ranked = best.withColumn("odds", odds).withColumn("confidence", F.col("odds") / (1 + F.sum("odds").over(w)))
     ranked = ranked.withColumn("n", F.row_number().over(w.orderBy(F.desc("confidence"), F.desc("dice"), "caseid")))
     return ranked.where((F.col("n") == 1) & (F.col("confidence") >= least)).select("cluster_id", "caseid", F.round("confidence", 6).alias("confidence"), F.round("dice", 6).alias("dice"))
 

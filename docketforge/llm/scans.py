@@ -211,6 +211,8 @@ def reflow(texts: DataFrame, titles: list[str]) -> DataFrame:
     # Titles are known by a join; only lines that look like one take part.
     named = texts.sparkSession.createDataFrame([(t, True) for t in titles], "title string, titled boolean").repartition(1)
     lines = lines.select("uid", "pos", "bare", page.alias("page"), head.alias("head"), F.when(candidate & ~head & _title(F.col("masked")), F.col("bare")).alias("title"))
+    if len(titles) > MOST_BROADCAST:  # lines without a title would all meet in one task
+        lines = lines.withColumn("title", F.coalesce("title", F.concat(F.lit("\u0001"), F.pmod(F.xxhash64("uid", "pos"), F.lit(1 << 16)).cast("string"))))
     lines = lines.join(F.broadcast(named) if len(titles) <= MOST_BROADCAST else named, "title", "left").withColumn("head", F.col("head") | F.coalesce("titled", F.lit(False))).drop("title", "titled")
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     before, after = F.lag("bare").over(w), F.lead("bare").over(w)

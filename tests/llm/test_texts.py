@@ -82,12 +82,12 @@ def test_each_place_of_a_word_is_judged_by_itself():
 
 
 def test_repair_is_the_same_in_a_larger_table(spark):
-    page = "The tenant left the premises before the hearing, and the owner took the premises back.\nThe fenant had kept the keys to the pre-\nmises for a month."
-    rows = [(i, page.replace("month", f"month{i % 9}")) for i in range(12)]
+    page = "The tenant left the premises before the hearing, and the owner took the premises back.\nThe tenant had kept the keys to the pre-\nmises for a month."
+    rows = [(i, page.replace("The tenant had", "The fenant had") if i == 0 else page) for i in range(12)]
     once = spark.createDataFrame(rows, "id long, text string")
     tenfold = spark.createDataFrame([(100 * k + i, t) for k in range(10) for i, t in rows], "id long, text string")
     got = [{r["clean"] for r in scans.scans({"t": d}).collect()} for d in (once, tenfold)]
-    assert got[0] == got[1] and all("premises for" in x and "fenant" not in x for x in got[0])
+    assert got[0] == got[1] and len(got[0]) == 1 and all("premises for" in x and "fenant" not in x for x in got[0])
 
 
 def test_long_words_before_hyphens_are_seen_whole():
