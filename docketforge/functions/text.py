@@ -112,8 +112,10 @@ def overlap_ratio(a: Column, b: Column) -> Column:
     """The share of a's alphabetic tokens that b has too; 0 if a has none."""
     ta = F.regexp_extract_all(F.lower(blank(a)), F.lit("[a-z]+"), F.lit(0))
     tb = F.regexp_extract_all(F.lower(blank(b)), F.lit("[a-z]+"), F.lit(0))
-    # The words in common are few; only they are looked up for each token.
-    return F.when(F.size(ta) > 0, F.size(F.filter(ta, lambda w: F.array_contains(F.array_intersect(ta, tb), w))) / F.size(ta)).otherwise(F.lit(0.0))
+    # Bound to one struct, the token lists are made once and not for each token.
+    once = F.array(F.struct(ta.alias("t"), F.array_intersect(ta, tb).alias("c")))
+    share = F.transform(once, lambda x: F.try_divide(F.size(F.filter(x["t"], lambda w: F.array_contains(x["c"], w))), F.size(x["t"])))
+    return F.coalesce(F.get(share, 0), F.lit(0.0))
 
 
 def upper_median(column: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketforge.functions import text as T
 from docketforge.functions.udfs import longest_run
 from docketforge.operators.verify import normalised_hit
+from docketforge.session import spread
 
 QUESTION_WORDS, ANSWER_WORDS, SPAN_CHARS, COPIED_RUN = (8, 45), (15, 90), 40, 10
 TYPES = ("facts", "procedural", "legal_principle", "holding", "outcome")
@@ -48,8 +49,9 @@ def validated(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
     A pair whose opinion is unknown has no span found. The copied run is counted inside the row; the one join brings the
     opinion's normalised text, made once for each opinion.
     """
-    source = opinions.select("cluster_id", T.normalised(F.col("text")).alias("source"))
-    checked = pairs.select("pair_id", "cluster_id", "question", "answer", "question_type", "supporting_span", longest_run(T.blank(F.col("answer")), T.blank(F.col("supporting_span"))).alias("run"))
+    source = spread(opinions.select("cluster_id", "text")).select("cluster_id", T.normalised(F.col("text")).alias("source"))
+    columns = ["pair_id", "cluster_id", "question", "answer", "question_type", "supporting_span"]
+    checked = spread(pairs.select(*columns)).select(*columns, longest_run(T.blank(F.col("answer")), T.blank(F.col("supporting_span"))).alias("run"))
     both = checked.join(source, "cluster_id", "left")
     return both.select("pair_id", reason(normalised_hit(F.col("supporting_span"), F.col("source")), F.col("run")).alias("reason"))
 
@@ -59,7 +61,7 @@ def signals(pairs: DataFrame) -> DataFrame:
     q = T.blank(F.col("question"))
     flags = F.array_compact(F.array(*[F.when((F.trim(q) if p.startswith("^") else q).rlike("(?i)" + p), F.lit(name)) for name, p in TRIVIAL.items()]))
     # Every text becomes its tokens once, and the overlap is counted once; what follows reads the results.
-    made = pairs.select(
+    made = spread(pairs.select("pair_id", "question_type", "question", "answer", "supporting_span")).select(
         "pair_id", "question_type", "question", "answer", F.regexp_extract_all(F.lower(q), F.lit("[a-z]+"), F.lit(0)).alias("tokens"), T.overlap_ratio(F.col("answer"), F.col("supporting_span")).alias("ratio")
     )
     legal = F.size(F.filter("tokens", lambda t: t.isin(LEGAL_TERMS)))

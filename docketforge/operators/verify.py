@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from docketforge.functions import text as T
 from docketforge.functions.udfs import located, longest_run
+from docketforge.session import spread
 
 METHODS = ("exact", "normalised", "word", "artefact")
 
 
-def prepared(opinions: DataFrame) -> DataFrame:
+def prepared(opinions: DataFrame, even: bool = True) -> DataFrame:
     """(cluster_id, text and its forms): what the methods search in, made once for each opinion and not for each quotation.
 
-    A query that needs one form only has one only: the others are pruned.
+    A query that needs one form only has one only: the others are pruned. ``even`` spreads a table of few parts over the
+    cores first.
     """
-    return opinions.select(
+    rows = opinions.select("cluster_id", "text")
+    return (spread(rows) if even else rows).select(
         "cluster_id", F.col("text").alias("source"), T.normalised(F.col("text")).alias("source_normalised"), _padded(F.col("text")).alias("source_words"),
         T.ascii_stream(F.col("text")).alias("source_stream"),
     )
@@ -110,10 +113,13 @@ def grounding(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
     both = with_source(pairs.select("pair_id", "cluster_id", "supporting_span", "span_start", "span_end"), opinions)
     valid = (F.col("span_start") >= 0) & (F.col("span_end") > F.col("span_start"))
     piece = F.when(valid, F.substring("source", F.col("span_start").cast("int") + 1, (F.col("span_end") - F.col("span_start")).cast("int")))
-    a, b = T.ascii_stream(piece), T.ascii_stream(F.col("supporting_span"))
+    # The streams are made once, and only where the offsets don't cut the span itself.
+    loose = ~F.coalesce(piece == F.col("supporting_span"), F.lit(False))
+    both = both.select("pair_id", "source", "source_stream", loose.alias("loose"), F.when(loose, T.ascii_stream(piece)).alias("a"), F.when(loose, T.ascii_stream(F.col("supporting_span"))).alias("b"))
+    a, b = F.col("a"), F.col("b")
     either = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
     status = (
-        F.when(F.col("source").isNull(), "no opinion").when(piece == F.col("supporting_span"), "exact").when(either, "located")
+        F.when(F.col("source").isNull(), "no opinion").when(~F.col("loose"), "exact").when(either, "located")
         .when((b != "") & F.contains(F.col("source_stream"), F.substring(b, 1, 200)), "found").otherwise("missing")
     )
     return both.select("pair_id", status.alias("status"))
@@ -124,7 +130,8 @@ def longest_shared_run(pairs: DataFrame, a: str = "answer", b: str = "supporting
 
     A row is looked at by itself, so nothing is shuffled. Repeated rows come out repeated.
     """
-    return pairs.select(F.col(key), longest_run(T.blank(F.col(a)), T.blank(F.col(b))).alias("longest_run"))
+    rows = spread(pairs.select(F.col(key), F.col(a).alias("a"), F.col(b).alias("b")))
+    return rows.select(key, longest_run(T.blank(F.col("a")), T.blank(F.col("b"))).alias("longest_run"))
 
 
 def counterfactual(span: Column) -> Column:
@@ -149,9 +156,9 @@ def provenance(pairs: DataFrame, opinions: DataFrame, around: int = 450) -> Data
     it is; altered_found and fabricated_found say whether a verbatim, normalised or word match takes counterfactual() or
     FABRICATED for a quotation.
     """
-    p = pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span"), "span_start", "span_end")
+    p = pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span"), "span_start", "span_end", F.when(T.blank(F.col("supporting_span")) != "", counterfactual(F.col("supporting_span"))).alias("altered"))
     about = opinions.select("cluster_id", "case_name", "citation", F.length("text").alias("text_chars"), T.word_count(F.col("text")).alias("text_words"))
-    both = with_source(p, opinions).where("source IS NOT NULL").join(about, "cluster_id")
+    both = p.join(prepared(opinions, even=False), "cluster_id").where("source IS NOT NULL").join(about, "cluster_id")
     n, start, end = F.length("source"), F.col("span_start"), F.coalesce("span_end", "span_start")
     valid = (start >= 0) & (start < end) & (end <= n)
     piece = F.when(valid, F.substring("source", (start + 1).cast("int"), (end - start).cast("int")))
@@ -164,7 +171,7 @@ def provenance(pairs: DataFrame, opinions: DataFrame, around: int = 450) -> Data
         F.when(start.isNotNull(), F.greatest(F.lit(0), start - around)).alias("window_start"), F.when(start.isNotNull(), F.least(n.cast("long"), end + around)).alias("window_end"),
         piece.alias("slice"), F.coalesce(piece == span, F.lit(False)).alias("slice_is_span"), step.alias("found_step"),
         F.coalesce((at > 0) & (at - 1 == start) & (at - 1 + F.length(span) == end), F.lit(False)).alias("offsets_hold"),
-        F.coalesce(hit(F.when(T.blank(span) != "", counterfactual(span))), F.lit(False)).alias("altered_found"), hit(F.lit(FABRICATED)).alias("fabricated_found"),
+        F.coalesce(hit(F.col("altered")), F.lit(False)).alias("altered_found"), hit(F.lit(FABRICATED)).alias("fabricated_found"),
     )
 
 

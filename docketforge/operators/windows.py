@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from docketforge.functions import text as T
 from docketforge.functions.udfs import windowed
+from docketforge.session import spread
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ def documents(opinions: DataFrame) -> DataFrame:
 
 def sizes(opinions: DataFrame) -> DataFrame:
     """(cluster_id, total): the words of every text that has any; a filter on the count would count twice."""
-    return opinions.where(F.col("text").rlike(T.SOLID)).select("cluster_id", T.word_count(F.col("text")).alias("total"))
+    return spread(opinions.select("cluster_id", "text")).where(F.col("text").rlike(T.SOLID)).select("cluster_id", T.word_count(F.col("text")).alias("total"))
 
 
 def number(total: Column, c: WindowConfig) -> Column:
@@ -86,7 +87,7 @@ def windows(opinions: DataFrame, c: WindowConfig = WindowConfig(), snap: bool =
     are code points of the stripped text, so substring(text, char_start + 1, char_end - char_start) is the window.
     Null and blank documents have no window; repeated rows have theirs each.
     """
-    made = opinions.select("cluster_id", F.explode(windowed(c.words, c.stride, c.least_last, snap, text)("text")).alias("w")).select("cluster_id", "w.*")
+    made = spread(opinions.select("cluster_id", "text")).select("cluster_id", F.explode(windowed(c.words, c.stride, c.least_last, snap, text)("text")).alias("w")).select("cluster_id", "w.*")
     names = ["cluster_id", "chunk_index", "n_chunks", "start_word", "end_word", "char_start", "char_end"]
     return made.select(*names, band(F.col("chunk_index"), F.col("n_chunks"), c).alias("position"), *(["text"] if text else []))
 
