@@ -210,3 +210,24 @@ def test_overlaps_with_both_sides_of_a_shard_split(spark, monkeypatch):
 
 
 WORDS_ = "tenant broker surety carrier trustee bailee guest".split()
+
+
+def planned(monkeypatch, module) -> list[str]:
+    """The plans of the tables that a module cuts from here on, as they are before any of their stages has run."""
+    plans, cut = [], module.cut
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *args)
+
+    monkeypatch.setattr(module, "cut", noted)
+    return plans
+
+
+def test_matching_broadcasts_no_table_that_grows(spark, small, monkeypatch):
+    """However small the tables' files are, only the patterns' posteriors go through the driver."""
+    plans = planned(monkeypatch, matching)
+    clusters, cases = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("clusters", "scdb_cases"))
+    last = matching.match(clusters, cases)
+    assert len(plans) == 3 and "SortMergeJoin" in plans[2] and not any("Broadcast" in p for p in plans)
+    assert last._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
