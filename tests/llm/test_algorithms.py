@@ -231,3 +231,11 @@ def test_matching_broadcasts_no_table_that_grows(spark, small, monkeypatch):
     last = matching.match(clusters, cases)
     assert len(plans) == 3 and "SortMergeJoin" in plans[2] and not any("Broadcast" in p for p in plans)
     assert last._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
+
+
+def test_overlaps_broadcast_no_table_that_grows(spark, small, monkeypatch):
+    """However small the tables' files are, nothing but the shards' numbers of parts goes through the driver."""
+    plans = planned(monkeypatch, overlap)
+    last = overlap.overlaps(spark.read.parquet(f"{small}/pair_records.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 8 and "SortMergeJoin" in plans[3] and not any("Broadcast" in p for p in plans)
+    assert last.count("SortMergeJoin") >= 4 and last.count("BroadcastHashJoin") <= 2
