@@ -17,10 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketforge.session import cut
+from docketforge.session import cut, merged
 
-#: Shapes longer than this are one shape: an expression of so many parts describes its values no more briefly than they are.
-LONG = 64
 #: Names of a declared domain, at most: they are written into the plan.
 MOST_NAMES = 10_000
 #: Bits of a character that is spelled out, of a letter and a digit whose class is known, and of a run's length.
@@ -40,9 +38,8 @@ class Rule:
 
 
 def shape_of(value: Column) -> Column:
-    """Runs of small letters, capitals and digits as a, A and 9; long shapes as one."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"[0-9]+", "9")
-    return F.when(F.length(shape) > LONG, F.lit("…")).otherwise(shape)
+    """Runs of small letters, capitals and digits as a, A and 9, whatever their number."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"[0-9]+", "9")
 
 
 def expression_of(shape: Column) -> Column:
@@ -50,14 +47,13 @@ def expression_of(shape: Column) -> Column:
     t = F.regexp_replace(shape, r"([^\w\s])", r"\\$1")
     for sign, run in (("9", "[0-9]+"), ("A", r"\\p{Lu}+"), ("a", r"\\p{Ll}+")):
         t = F.regexp_replace(t, sign, run)
-    return F.when(shape == "…", F.lit(f"(?s).{{{LONG + 1},}}")).otherwise(t)
+    return t
 
 
 def pays(shape: Column, n: Column, chars: Column, total: Column) -> Column:
     """Whether writing a shape's expression once costs fewer bits than its values then need no longer be spelled out.
 
-    n: its distinct values, chars: their characters, total: the column's distinct values. Shapes that are too long for an
-    expression of their own have the one that takes any long value.
+    n: its distinct values, chars: their characters, total: the column's distinct values.
     """
     runs = F.length(F.regexp_replace(shape, "[^aA9]", ""))
     fixed = F.length(shape) - runs
@@ -67,7 +63,7 @@ def pays(shape: Column, n: Column, chars: Column, total: Column) -> Column:
     described = free * (digits * DIGIT + (1 - digits) * LETTER) + n * (runs * RUN + branch)
     # The expression's length: a run takes 6 signs, another character itself and, unless it is a letter, digit or blank, a backslash.
     written = 6 * runs + fixed + F.length(F.regexp_replace(shape, r"[\w\s]", ""))
-    return (shape == "…") | (described + SPELLED * written + branch < SPELLED * chars + 2 * n * F.log2(1 + chars / F.greatest(n, F.lit(1.0))))
+    return described + SPELLED * written + branch < SPELLED * chars + 2 * n * F.log2(1 + chars / F.greatest(n, F.lit(1.0)))
 
 
 def shapes_by_load(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
@@ -134,18 +130,18 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, rules: d
     part = cut(shapes_by_load(keyed, "__load", columns), "profile-shapes")
     induced = cut(expressions(part), "profile-expressions")
     spark = df.sparkSession
-    judged = part.join(induced.select("i", "shape", F.lit(True).alias("known")), ["i", "shape"], "left")
+    judged = part.join(merged(induced.select("i", "shape", F.lit(True).alias("known"))), ["i", "shape"], "left")
     shaped = judged.groupBy("load", "i").agg(F.sum("values").alias("distinct_values"), F.sum("rows").alias("present"), F.sum(F.when(F.col("known").isNull(), F.col("rows")).otherwise(0)).alias("nonconforming"))
     spread_over = judged.groupBy("load", "i", "bucket").agg(F.sum("rows").alias("rows")).groupBy("load", "i").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "rows"))).alias("histogram"))
     # The report shows a column's expressions from the one with the most values on, SHOWN at most; all of them count.
     place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("values"), "shape"))
     shown = induced.withColumn("place", place).where(F.col("place") <= SHOWN).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", expression_of(F.col("shape")).alias("e")))), lambda x: x["e"]).alias("expressions"))
-    texts = spark.range(len(columns)).select(F.col("id").cast("int").alias("i")).join(shown, "i", "left").select("i", F.coalesce("expressions", F.array().cast("array<string>")).alias("expressions"))
+    texts = spark.range(len(columns)).select(F.col("id").cast("int").alias("i")).join(merged(shown), "i", "left").select("i", F.coalesce("expressions", F.array().cast("array<string>")).alias("expressions"))
     joined = tall.alias("t")
     for name, other in (("s", shaped), ("h", spread_over)):
         o = other.withColumnsRenamed({"load": f"{name}_load", "i": f"{name}_i"})
         joined = joined.join(o, F.col("load").eqNullSafe(F.col(f"{name}_load")) & (F.col("i") == F.col(f"{name}_i")), "left").drop(f"{name}_load", f"{name}_i")
-    joined = joined.join(F.broadcast(texts), "i")
+    joined = joined.join(merged(texts), "i")
     rows = joined.withColumn("null_rate", 1 - F.col("there") / F.col("n_rows")).withColumn("coverage", F.when(F.col("there") > 0, 1 - F.coalesce("nonconforming", F.lit(0)) / F.col("there")))
     w = Window.partitionBy("i").orderBy(F.asc_nulls_first("load"))
     before = lambda c: F.lag(c).over(w)

@@ -304,6 +304,15 @@ def test_induction_leaves_rare_shapes_out(spark):
     assert spark.range(1).select(profile.expression_of(F.lit("Aa 9-9"))).first()[0] == r"\p{Lu}+\p{Ll}+ [0-9]+\-[0-9]+"
 
 
+def test_long_shapes_have_expressions_of_their_own(spark):
+    """Two formats of more than 64 signs are told apart; a long value of neither doesn't conform."""
+    data = [(k % 2, "-".join([("x" if k % 3 else "X") * (1 + k % 7), str(k)] * 30)) for k in range(300)] + [(0, "-".join(["x"] * 40) + "/" + "9" * 5)]
+    p = {r["load_id"]: r for r in profile.profile(spark.createDataFrame(data, "load_id int, id string"), "load_id").collect()}
+    small, capital = (r"\-".join([run, "[0-9]+"] * 30) for run in (r"\p{Ll}+", r"\p{Lu}+"))
+    assert p[0]["expressions"] == [small, capital] == p[1]["expressions"]
+    assert p[0]["nonconforming"] == 1 and p[1]["nonconforming"] == 0 and p[0]["distinct_values"] == 151
+
+
 def test_induction_takes_a_shape_of_few_among_many(spark):
     """900 values of one shape pay for an expression however many other values the column has."""
     n, chars, total = F.lit(900.0), F.lit(9000.0), F.lit(10_000_000.0)
