@@ -27,6 +27,26 @@ def located(span: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"start": pd.array([f[0] if f else None for f in found], dtype="Int32"), "end": pd.array([f[1] if f else None for f in found], dtype="Int32")})
 
 
+def stepped(tolerant: bool):
+    """A UDF from a source's three forms and the lists of its quotations' forms to the list of kernels.found_step()."""
+
+    def run(source: pd.Series, normalised: pd.Series, words: pd.Series, spans: pd.Series, norms: pd.Series, rows: pd.Series, parts: pd.Series) -> pd.Series:
+        texts = zip(source, normalised, words)
+        return pd.Series([[K.found_step((t or "", n, w), *x, tolerant) for x in zip(*lists)] for (t, n, w), lists in zip(texts, zip(spans, norms, rows, parts))])
+
+    return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("slice", T.StringType()), T.StructField("holds", T.BooleanType())])))
+def recorded(source: pd.Series, spans: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """For each quotation of a source what its offsets cut, null if they don't lie in it, and whether they are those of the first place it stands at. A missing offset is -1."""
+
+    def one(text: str, span: str | None, a: int, b: int) -> dict:
+        return {"slice": text[a:b] if 0 <= a < b <= len(text) else None, "holds": bool(span) and 0 <= a and b - a == len(span) and text.find(span, 0, b) == a}
+
+    return pd.Series([[one(t, *x) for x in zip(*lists)] for t, lists in zip(source, zip(spans, starts, ends))])
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else K.nfkc(x))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketforge.functions import text as T
-from docketforge.functions.udfs import located, longest_run
+from docketforge.functions.udfs import located, longest_run, recorded, stepped
 from docketforge.session import spread
 
 METHODS = ("exact", "normalised", "word", "artefact")
+#: Pairs of an opinion that stand together beside its text, more or less.
+CHUNK = 256
+ELLIPSIS = r"\.[ ]*\.[ ]*\.|…"
 
 
 def prepared(opinions: DataFrame, even: bool = True) -> DataFrame:
@@ -19,10 +22,11 @@ def prepared(opinions: DataFrame, even: bool = True) -> DataFrame:
     cores first.
     """
     rows = opinions.select("cluster_id", "text")
-    return (spread(rows) if even else rows).select(
-        "cluster_id", F.col("text").alias("source"), T.normalised(F.col("text")).alias("source_normalised"), _padded(F.col("text")).alias("source_words"),
-        T.ascii_stream(F.col("text")).alias("source_stream"),
-    )
+    return (spread(rows) if even else rows).select("cluster_id", *_forms(), T.ascii_stream(F.col("text")).alias("source_stream"))
+
+
+def _forms() -> list[Column]:
+    return [F.col("text").alias("source"), T.normalised(F.col("text")).alias("source_normalised"), _padded(F.col("text")).alias("source_words")]
 
 
 def with_source(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
@@ -30,6 +34,26 @@ def with_source(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
     return pairs.join(prepared(opinions), "cluster_id", "left")
 
 
+def chunked(pairs: DataFrame, opinions: DataFrame, how: str = "inner") -> DataFrame:
+    """(cluster_id, chunk, items) and the columns of opinions: about CHUNK pairs of an opinion at a time, as structs of the other columns.
+
+    An opinion that many pairs quote stands beside a list of them and not beside each, and its lists are spread over the
+    tasks. pairs needs a pair_id; repeated rows stay.
+    """
+    rows = spread(pairs)
+    many = pairs.groupBy(F.col("cluster_id").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    rows = rows.join(many, rows["cluster_id"].eqNullSafe(many["hot"]), "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("pair_id"), F.ceil(F.col("n") / CHUNK)), F.lit(0)))
+    lists = rows.groupBy("cluster_id", "chunk").agg(F.collect_list(F.struct(*[c for c in pairs.columns if c != "cluster_id"])).alias("items"))
+    return lists.join(opinions, "cluster_id", how).repartition("cluster_id", "chunk")
+
+
+def _steps(span: str, tolerant: bool) -> Column:
+    """The list of found_step() of the items' field ``span``, beside the forms that prepared() makes."""
+    of = lambda f: F.transform("items", lambda x: f(x[span]))
+    parts = lambda x: F.when(x.rlike(ELLIPSIS), F.array_join(F.filter(F.transform(T.elided_parts(x), lambda p: F.array_join(T.words(p), " ")), lambda p: p != ""), "|"))
+    return stepped(tolerant)("source", "source_normalised", "source_words", of(lambda x: x), of(T.normalised), of(_padded), of(parts))
+
+
 def _padded(x: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(T.words(x), " "), F.lit(" "))
 
@@ -52,7 +76,7 @@ def word_hit(span: Column, source: Column) -> Column:
     place = lambda at, p: F.call_function("locate", F.concat(F.lit(" "), p, F.lit(" ")), source, at)
     step = lambda at, p: F.when(at <= 0, F.lit(0)).otherwise(F.when(place(at, p) > 0, place(at, p) + F.length(p) + 1).otherwise(0))
     # Only a span with an ellipsis has parts that could stand apart.
-    chained = F.when(span.rlike(r"\.[ ]*\.[ ]*\.|…"), (F.size(parts) > 1) & (F.aggregate(parts, F.lit(1), step) > 0)).otherwise(False)
+    chained = F.when(span.rlike(ELLIPSIS), (F.size(parts) > 1) & (F.aggregate(parts, F.lit(1), step) > 0)).otherwise(False)
     return F.coalesce(whole | chained, F.lit(False))
 
 
@@ -156,22 +180,24 @@ def provenance(pairs: DataFrame, opinions: DataFrame, around: int = 450) -> Data
     it is; altered_found and fabricated_found say whether a verbatim, normalised or word match takes counterfactual() or
     FABRICATED for a quotation.
     """
-    p = pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span"), "span_start", "span_end", F.when(T.blank(F.col("supporting_span")) != "", counterfactual(F.col("supporting_span"))).alias("altered"))
-    about = opinions.select("cluster_id", "case_name", "citation", F.length("text").alias("text_chars"), T.word_count(F.col("text")).alias("text_words"))
-    both = p.join(prepared(opinions, even=False), "cluster_id").where("source IS NOT NULL").join(about, "cluster_id")
-    n, start, end = F.length("source"), F.col("span_start"), F.coalesce("span_end", "span_start")
-    valid = (start >= 0) & (start < end) & (end <= n)
-    piece = F.when(valid, F.substring("source", (start + 1).cast("int"), (end - start).cast("int")))
+    span = F.col("supporting_span")
+    p = pairs.select("pair_id", "cluster_id", span.alias("span"), "span_start", F.coalesce("span_end", "span_start").alias("span_end"), F.when(T.blank(span) != "", counterfactual(span)).alias("altered"))
+    about = opinions.where("text IS NOT NULL").select("cluster_id", "case_name", "citation", "text", F.length("text").alias("text_chars"), T.word_count(F.col("text")).alias("text_words"))
+    lists = chunked(p, about).select("cluster_id", "case_name", "citation", "text_chars", "text_words", "items", *_forms())
+    of = lambda c: F.transform("items", lambda x: x[c])
+    offset = lambda c: F.transform("items", lambda x: F.coalesce(x[c].cast("long"), F.lit(-1)))
     hit = lambda s: exact_hit(s, F.col("source")) | normalised_hit(s, F.col("source_normalised")) | word_hit(s, F.col("source_words"))
-    span = F.col("span")
-    step = F.when(exact_hit(span, F.col("source")), 0).when(normalised_hit(span, F.col("source_normalised")), 1).when(word_hit(span, F.col("source_words")), 2).otherwise(3)
-    at = F.when(T.blank(span) != "", F.instr("source", span))
-    return both.select(
-        "pair_id", "cluster_id", "case_name", "citation", "text_chars", "text_words", F.round(100 * start / F.greatest(n, F.lit(1)), 4).alias("depth_pct"),
+    traced = lists.select(
+        "cluster_id", "case_name", "citation", "text_chars", "text_words", "items", hit(F.lit(FABRICATED)).alias("fabricated_found"),
+        recorded("source", of("span"), offset("span_start"), offset("span_end")).alias("r"), _steps("span", False).alias("steps"), _steps("altered", False).alias("altered"),
+    )
+    rows = traced.withColumn("x", F.explode(F.arrays_zip("items", "r", "steps", "altered")))
+    n, start, end, piece = F.col("text_chars"), F.col("x.items.span_start"), F.col("x.items.span_end"), F.col("x.r.slice")
+    return rows.select(
+        "x.items.pair_id", "cluster_id", "case_name", "citation", "text_chars", "text_words", F.round(100 * start / F.greatest(n, F.lit(1)), 4).alias("depth_pct"),
         F.when(start.isNotNull(), F.greatest(F.lit(0), start - around)).alias("window_start"), F.when(start.isNotNull(), F.least(n.cast("long"), end + around)).alias("window_end"),
-        piece.alias("slice"), F.coalesce(piece == span, F.lit(False)).alias("slice_is_span"), step.alias("found_step"),
-        F.coalesce((at > 0) & (at - 1 == start) & (at - 1 + F.length(span) == end), F.lit(False)).alias("offsets_hold"),
-        F.coalesce(hit(F.col("altered")), F.lit(False)).alias("altered_found"), hit(F.lit(FABRICATED)).alias("fabricated_found"),
+        piece, F.coalesce(piece == F.col("x.items.span"), F.lit(False)).alias("slice_is_span"), F.col("x.steps").alias("found_step"),
+        F.col("x.r.holds").alias("offsets_hold"), (F.col("x.altered") < 3).alias("altered_found"), "fabricated_found",
     )
 
 

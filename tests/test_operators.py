@@ -72,6 +72,21 @@ def test_verification(spark):
     assert [r["failures"] for r in verify.step_rates(verify.first_method(p, o)).collect()] == [7, 6, 4]
 
 
+def test_pairs_of_one_opinion_stand_in_lists_beside_its_text(spark):
+    text = "Chapter one. " + " ".join(f"word{i} stands, here" for i in range(700))
+    quote = lambda i: (f"word{i} stands, here", f"Word{i}  stands here", f"word{i} . . . word{i + 50} stands", f"word{i} st- ands", f"word{i} falls", None)[i % 6]
+    data = [(i, None if i % 50 == 7 else 8 if i % 50 == 9 else 1, quote(i), 13 if i == 0 else None, 13 + 18 if i == 0 else None) for i in range(600)]
+    p = spark.createDataFrame([*data, data[0]], "pair_id long, cluster_id long, supporting_span string, span_start long, span_end long")
+    o = spark.createDataFrame([(1, text, "a", "b"), (2, "Another text.", "c", "d")], "cluster_id long, text string, case_name string, citation string")
+    assert verify.chunked(p, o.select("cluster_id", "text"), "left").count() <= 6
+    plain, tolerant = (rows(verify.first_method(p, o, artefact=x), "pair_id", "step") for x in (False, True))
+    assert len(plain) == len(tolerant) == 601 and [(k, min(x, 3)) for k, x in tolerant] == plain
+    assert {x for _, x in tolerant} == {0, 2, 3, 4}
+    chain = verify.provenance(p, o)
+    assert [r[1] for r in rows(chain, "pair_id", "found_step")] == [x for k, x in plain if k % 50 not in (7, 9)]
+    assert [r["slice"] for r in chain.where("offsets_hold").collect()] == ["word0 stands, here"] * 2
+
+
 def test_counterfactuals(spark):
     d = spark.createDataFrame([("It is not so, not at all",), ("There is no doubt",), ("One two three four",), ("One",)], "s string")
     assert [r[0] for r in d.select(verify.counterfactual(F.col("s"))).collect()] == ["It is so, not at all", "There is doubt", "One two never three four", "One never"]
