@@ -108,12 +108,13 @@ def first_method(pairs: DataFrame, opinions: DataFrame, artefact: bool = False)
 
     The methods run in the order of their cost, each on what those before it missed.
     """
-    both = with_source(pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span")), opinions)
-    step = F.when(exact_hit(F.col("span"), F.col("source")), 0).when(normalised_hit(F.col("span"), F.col("source_normalised")), 1).when(word_hit(F.col("span"), F.col("source_words")), 2).otherwise(3)
-    rows = both.select("pair_id", "span", "source", step.alias("step"))
+    spans = pairs.select("pair_id", "cluster_id", F.col("supporting_span").alias("span"))
     if artefact:
-        rows = rows.withColumn("at", _tolerant(rows, F.col("step") < 3)).withColumn("step", F.when((F.col("step") < 3) | F.col("at"), F.col("step")).otherwise(4))
-    return rows.select("pair_id", "step")
+        lists = chunked(spans, opinions.select("cluster_id", "text"), "left")
+        found = lists.select("items", *_forms()).select("items", _steps("span", True).alias("steps"))
+        return found.select(F.explode(F.arrays_zip("items", "steps")).alias("x")).select("x.items.pair_id", F.col("x.steps").alias("step"))
+    step = F.when(exact_hit(F.col("span"), F.col("source")), 0).when(normalised_hit(F.col("span"), F.col("source_normalised")), 1).when(word_hit(F.col("span"), F.col("source_words")), 2).otherwise(3)
+    return with_source(spans, opinions).select("pair_id", step.alias("step"))
 
 
 def step_rates(steps: DataFrame, methods: tuple[str, ...] = METHODS[:3]) -> DataFrame:

@@ -87,6 +87,14 @@ def test_pairs_of_one_opinion_stand_in_lists_beside_its_text(spark):
     assert [r["slice"] for r in chain.where("offsets_hold").collect()] == ["word0 stands, here"] * 2
 
 
+def test_tolerant_search_has_no_text_beside_each_pair(spark, monkeypatch):
+    made, chunked = [], verify.chunked
+    monkeypatch.setattr(verify, "chunked", lambda *a, **k: made.append(chunked(*a, **k)) or made[-1])
+    p = spark.range(600).select(F.col("id").alias("pair_id"), F.lit(1).alias("cluster_id"), F.concat(F.lit("no such words "), "id").alias("supporting_span"))
+    steps = verify.first_method(p, spark.createDataFrame([(1, "It is so.")], "cluster_id long, text string"), artefact=True)
+    assert [r["step"] for r in steps.collect()] == [4] * 600 and made[0].count() <= 3
+
+
 def test_counterfactuals(spark):
     d = spark.createDataFrame([("It is not so, not at all",), ("There is no doubt",), ("One two three four",), ("One",)], "s string")
     assert [r[0] for r in d.select(verify.counterfactual(F.col("s"))).collect()] == ["It is so, not at all", "There is doubt", "One two never three four", "One never"]
