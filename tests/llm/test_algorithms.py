@@ -25,6 +25,14 @@ def test_readings():
     assert matching.decided("2000-03-02")[1] == 1999 and matching.decided("3/2/2000")[0] == matching.decided("2000-03-02")[0] and matching.decided("2000-13-45") == (None, None, None)
 
 
+def test_a_pair_that_meets_many_times_is_taken_once(spark):
+    make = lambda rows: matching.encode(spark.createDataFrame(rows, "id long, name string, cite string, date string"), "id", "name", "cite", "date", None, *[F.lit(None).cast("string")] * 4)
+    one = make([(1, "Dovelian Steel v. Brenquist", "24 U.S. 7", "2001-03-02"), (2, "Wesbury v. Pelansky", None, "1990-05-06"), (3, "In re Kellmoor", "30 U.S. 9", None)])
+    two = make([(1, "DOVELIAN STEEL v. BRENQUIST", "24 U.S. 7", "3/2/2001"), (2, "PELANSKY v. WESBURY", None, "5/6/1990"), (3, "Another v. Third", "30 U.S. 9", None), (4, "Dovelain v. Nobody", None, "2001-03-20")])
+    pairs = matching.met(one, two).select("l_id", "r_id", "agreeing").collect()
+    assert sorted(map(tuple, pairs)) == [("1", "1", True), ("1", "4", False), ("2", "2", False), ("3", "3", False)]
+
+
 def test_candidates_find_all_close_vectors(spark):
     """Every pair that differs in at most CHUNKS - AGREE bits is a candidate."""
     rng = random.Random(5)
